@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import near_duplicates as nd
+from caseloom.llm import tied_splits as ts
+from caseloom.plans.staging import staged
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,5 +33,25 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return nd.near_duplicate_groups(_t(spark, d, "documents"), "doc_id", "text", 5, 5, 0.8).withColumnRenamed("id", "doc_id")
 
 
+def _case_values() -> list:
+    return [ts.group_value(F.col("duplicate_group"), "dup"), ts.group_value(F.col("family_group"), "fam")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of tied sets that the recorded splits keep apart."""
+    cases = _t(spark, d, "rag_source_cases")
+    tied = staged(ts.tied_records(cases, "case_no", _case_values()), "tied")
+    return ts.conflicting_sets(tied, cases, "case_no", "split").select(
+        F.col("key").alias("case_no"), F.col("root").alias("root_no")
+    )
+
+
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's split, 70 / 15 / 15, tied records together."""
+    cases = _t(spark, d, "rag_source_cases")
+    tied = staged(ts.tied_records(cases, "case_no", _case_values()), "tied")
+    return ts.assign_splits(tied, "key", ["train", "validation", "test"], [0.70, 0.15, 0.15]).withColumnRenamed("key", "case_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
