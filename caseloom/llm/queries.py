@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.llm import bpe, containers, pieces
 from caseloom.llm import near_duplicates as nd
 from caseloom.llm import tied_splits as ts
 from caseloom.plans.staging import staged
@@ -53,5 +54,36 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return ts.assign_splits(tied, "key", ["train", "validation", "test"], [0.70, 0.15, 0.15]).withColumnRenamed("key", "case_no")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k; null and empty texts have none."""
+    return bpe.encode_texts(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.token_counts(_t(spark, d, "documents"), "doc_id", "text")
+    return containers.pack(sizes, "id", "n_tokens", 2_048)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document (or part of one above 2,048 tokens) with its container."""
+    return _packed(spark, d).select(
+        F.col("id").alias("doc_id"), F.col("piece").alias("part_no"), F.col("size").alias("n_tokens"), F.col("container").alias("container_no")
+    )
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least possible number by volume, and the share filled."""
+    used = _packed(spark, d).groupBy("container").agg(F.sum("size").alias("n"))
+    return used.agg(
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("n") / 2_048).alias("lower_bound"),
+        F.round(F.sum("n") / (F.count(F.lit(1)) * 2_048), 6).alias("fill"), F.max("n").alias("fullest"),
+    )
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of documents above 512 tokens, each repeating 64 tokens of the one before."""
+    return pieces.split_texts(_t(spark, d, "documents"), "doc_id", "text", 512, 64).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
