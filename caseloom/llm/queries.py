@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, containers, pieces
+from caseloom.llm import bpe, containers, lookalikes, pieces
 from caseloom.llm import near_duplicates as nd
 from caseloom.llm import tied_splits as ts
 from caseloom.plans.staging import staged
@@ -54,6 +54,27 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return ts.assign_splits(tied, "key", ["train", "validation", "test"], [0.70, 0.15, 0.15]).withColumnRenamed("key", "case_no")
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t, k, c: _t(spark, d, t).select(F.lit(c).alias("place"), F.col(k).alias("row_id"), F.col(c).alias("value"))
+    links = one("links", "link_id", "hostname").unionByName(one("links", "link_id", "display_text"))
+    return links.unionByName(one("parsed_emails", "email_id", "subject"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that look like a watched term without being it."""
+    return lookalikes.lookalikes_of(_looks(spark, d), _t(spark, d, "watch_terms"), "ref_id", "place", "canonical")
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every hostname, display text and subject in its one form."""
+    return lookalikes.same_form(_looks(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Forms that are spelt in several ways."""
+    return lookalikes.look_groups(_looks(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k; null and empty texts have none."""
     return bpe.encode_texts(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
