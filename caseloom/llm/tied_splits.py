@@ -45,8 +45,8 @@ def group_value(col: Column, prefix: str) -> Column:
     return F.when(bare.rlike(rf"^{prefix}:[0-9a-f]{{16}}$"), bare)
 
 
-def _adjacency(ties: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Salted adjacency lists (node, salt, other) and nodes (node, salts)."""
+def _adjacency(ties: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Salted adjacency lists (node, salt, other), nodes (node, salts), length of all lists."""
     both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degrees = staged(both.groupBy("a").agg(F.count(F.lit(1)).alias("d")), "degrees")
     total = degrees.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
@@ -56,7 +56,7 @@ def _adjacency(ties: DataFrame) -> tuple[DataFrame, DataFrame]:
     salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")
     lists = both.join(hot, "a", "left").select(F.col("a").alias("node"), salt.alias("salt"), F.col("b").alias("other"))
     nodes = degrees.select(F.col("a").alias("node"), F.greatest(F.lit(1), salts).alias("salts"))
-    return staged(lists.repartition("node", "salt"), "lists"), staged(nodes, "nodes")
+    return staged(lists.repartition("node", "salt"), "lists"), staged(nodes, "nodes"), total
 
 
 def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
@@ -66,11 +66,13 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
     component and differ between components.  Null ends are ignored.
     """
     clean = ties.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    lists, nodes = _adjacency(clean.where("a <> b"))
+    lists, nodes, total = _adjacency(clean.where("a <> b"))
     alone = clean.where("a = b").select(F.col("a").alias("node")).distinct()
     reached: DataFrame | None = None
     merges: list[DataFrame] = []
     for share in SEED_SHARES:
+        if reached is not None:
+            reached = staged(reached, "reached")
         left = nodes if reached is None else nodes.join(reached, "node", "left_anti")
         seeds = left.where(F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)) == 0)
         front = staged(seeds.select("node", F.col("node").alias("label"), "salts"), "front")
@@ -84,7 +86,7 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
             met = staged(
                 lows.join(grown.withColumnRenamed("label", "had"), "node", "left").withColumn("x", F.coalesce("had", "low")), "met"
             )
-            made = join_unique(offers, met.select("node", "x", "n"), "node", "n", max(1, offers.count()))
+            made = join_unique(offers, met.select("node", "x", "n"), "node", "n", total)
             merges.append(staged(made.select("x", F.col("label").alias("y")).where("x <> y").distinct(), "merges"))
             reached = grown
             front = staged(
@@ -92,6 +94,7 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
             )
     if reached is None:
         return alone.select("node", F.col("node").alias("component"))
+    reached = staged(reached, "reached")
     tied = merges[0]
     for m in merges[1:]:
         tied = tied.unionByName(m)
