@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, containers, lookalikes, pieces
+from caseloom.llm import bpe, containers, lookalikes, misread, pieces
 from caseloom.llm import near_duplicates as nd
 from caseloom.llm import tied_splits as ts
 from caseloom.plans.staging import staged
@@ -54,6 +54,16 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return ts.assign_splits(tied, "key", ["train", "validation", "test"], [0.70, 0.15, 0.15]).withColumnRenamed("key", "case_no")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Text parts with characters that were read in a wrong charset."""
+    return misread.affected(_t(spark, d, "text_parts"), "part_key", "text").select(F.col("id").alias("part_key"))
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected parts with their text as first written, as far as it can be had."""
+    return misread.affected(_t(spark, d, "text_parts"), "part_key", "text").withColumnRenamed("id", "part_key")
+
+
 def _looks(spark: SparkSession, d: str) -> DataFrame:
     one = lambda t, k, c: _t(spark, d, t).select(F.lit(c).alias("place"), F.col(k).alias("row_id"), F.col(c).alias("value"))
     links = one("links", "link_id", "hostname").unionByName(one("links", "link_id", "display_text"))
