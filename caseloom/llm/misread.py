@@ -221,13 +221,13 @@ def _steps(text: str) -> Iterator[tuple[str, str, float]]:
 def _search(text: str) -> tuple[str, float, str]:
     """The cheapest text reached from ``text``, its own cost and the way to it."""
     begin = cost(text, True)
-    best = (begin, text, "")
+    best, best_paid, good = (begin, text, ""), 0.0, False
     heap = [(begin, 0, text, "", 0.0)]
     seen = {hash(text)}
     while heap and len(seen) < STATES:
-        total, depth, now, way, paid = heapq.heappop(heap)
-        if total > best[0] + 2 * STEP and cost(best[1]) < PLAUSIBLE:
-            break  # the rest costs more than what is plausible already
+        _, depth, now, way, paid = heapq.heappop(heap)
+        if good and paid + STEP > best_paid:
+            continue  # a plausible text is known that took no more operations
         if depth == DEPTH or cost(now) < PLAUSIBLE:  # what is plausible is not changed further
             continue
         for op, got, price in _steps(now):
@@ -237,7 +237,7 @@ def _search(text: str) -> tuple[str, float, str]:
             total = cost(got, True) + paid + price
             path = f"{way} | {op}" if way else op
             if total < best[0]:
-                best = (total, got, path)
+                best, best_paid, good = (total, got, path), paid + price, cost(got) < PLAUSIBLE
             heapq.heappush(heap, (total, depth + 1, got, path, paid + price))
     return best[1], cost(best[1]), best[2]
 
