@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, containers, lookalikes, misread, pieces
+from caseloom.llm import bpe, containers, lookalikes, misread, personal, pieces
 from caseloom.llm import near_duplicates as nd
 from caseloom.llm import tied_splits as ts
 from caseloom.plans.staging import staged
@@ -85,6 +85,28 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_groups(_looks(spark, d))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of text parts, and each entry of the from and to lists."""
+    parts = _t(spark, d, "text_parts").select(F.lit("text").alias("place"), F.col("part_key").alias("row_id"), "text")
+    mails = _t(spark, d, "parsed_emails")
+    entry = lambda p: mails.select(F.lit(p).alias("place"), F.col("email_id").alias("row_id"), F.explode(f"{p}_addresses").alias("text"))
+    return parts.unionByName(entry("from")).unionByName(entry("to"))
+
+
+def _directory(spark: SparkSession, d: str) -> tuple:
+    return personal.learned(_t(spark, d, "staff_directory"), "given_name", "family_name")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of personal information by place and row."""
+    return personal.found_kinds(_personal(spark, d), _directory(spark, d))
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text and address entry with placeholders for its personal information."""
+    return personal.masked(_personal(spark, d), _directory(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k; null and empty texts have none."""
     return bpe.encode_texts(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
