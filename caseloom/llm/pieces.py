@@ -30,60 +30,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.bpe import ByteBpe, load, slices, tokenizer_dir
+from caseloom.llm.bpe import WORDS, ByteBpe, load, slices, tokenizer_dir
 
 LONG = 16
 RUN = 8
 _SENTENCE = ".!?…。！？؟।"
 _CLAUSE = ",;:，；：、–—"
+_WIDE_END = "。！？"
 _CLOSE = "\"'”’»)]}*_"
 
 
-def _atoms(bpe: ByteBpe, text: str) -> tuple[list[str], np.ndarray]:
-    words = bpe.find(text)
-    size = bpe.word_sizes(words)
+#: What the cutter has to know of a word: white space, line ends, strength after it,
+#: whether it hands on the strength before it, whether it starts with white space,
+#: whether a cut may follow it though no white space does.
+_TRAITS = 6
+
+
+def _traits(word: str) -> tuple[int, int, int, int, int, int]:
+    if word.isspace():
+        return 1, word.count("\n") or word.count("\r"), 0, 0, 1, 1
+    last = (word.rstrip(_CLOSE) or word)[-1]
+    level = 3 if last in _SENTENCE else 2 if last in _CLAUSE else 0
+    return 0, 0, level, int(not word.strip(_CLOSE)), int(word[0].isspace()), int(last in _WIDE_END)
+
+
+class Traits:
+    """Traits of the words of a vocabulary, by word number; follows its word table."""
+
+    def __init__(self, bpe: ByteBpe):
+        self.bpe, self.table, self.known, self.owner = bpe, np.zeros((0, _TRAITS), np.int16), 0, None
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        if self.owner is not self.bpe.index:  # the word table was emptied
+            self.owner, self.known, self.table = self.bpe.index, 0, np.zeros((0, _TRAITS), np.int16)
+        if self.known < len(self.bpe.index):
+            fresh = list(self.bpe.index)[self.known :]
+            self.table = np.concatenate([self.table, np.array([_traits(w) for w in fresh], np.int16)])
+            self.known = len(self.bpe.index)
+        return self.table[numbers]
+
+
+def _atoms(bpe: ByteBpe, words: list[str], size: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Atoms, their tokens, and whether each is a run cut out of a long word."""
     if size.max(initial=0) <= LONG:
-        return words, size
+        return words, size, np.zeros(len(words), bool)
     out: list[str] = []
+    cut: list[bool] = []
     for w, n in zip(words, size.tolist(), strict=True):
-        out.extend([w] if n <= LONG else [w[i : i + RUN] for i in range(0, len(w), RUN)])
-    return out, bpe.word_sizes(out)
+        runs = [w] if n <= LONG else [w[i : i + RUN] for i in range(0, len(w), RUN)]
+        out.extend(runs)
+        cut.extend([n > LONG] * len(runs))
+    return out, bpe.word_sizes(out), np.array(cut)
 
 
-def _strengths(atoms: list[str]) -> np.ndarray:
-    """Strength of the boundary after each atom.
+def _strengths(t: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Strength of the boundary after each atom, from the atoms' traits.
 
-    A white-space atom hands the strength of the text before it on; the boundary before
-    white space is weaker than the one after it by being no boundary for line ends, so
-    that pieces end after their line ends.  A word that starts with a blank follows a
-    word boundary.
+    White space has the strength of the text before it, or of the line ends in it.  Closing
+    marks right after a text have that text's strength.  A cut is free where white space
+    follows or precedes, or after a full-width sentence end: "3.14" and "a.b" are not cut.
     """
-    n = len(atoms)
-    out = np.zeros(n, np.int8)
-    level, newlines = 0, 0
-    for i, a in enumerate(atoms):
-        if a.isspace():
-            newlines += a.count("\n") + (a.count("\r") if "\n" not in a else 0)
-            level = max(level, 5 if newlines > 1 else 4 if newlines else 1)
-        else:
-            newlines = 0
-            core = a.rstrip(_CLOSE) or a
-            last = core[-1]
-            if last in _SENTENCE:
-                level = 3
-            elif last in _CLAUSE:
-                level = 2
-            elif a.strip(_CLOSE + " ") == "" and i:
-                level = max(0, int(out[i - 1]))
-            else:
-                level = 0
-        out[i] = level
-    # a boundary is one only if white space or a fresh word follows: "3.14", "a.b" are not cut
-    spaced = np.fromiter((a[0].isspace() for a in atoms), bool, n)
-    follows = np.append(spaced[1:], True)
-    wide = np.fromiter((a.isspace() for a in atoms), bool, n)
-    free = follows | wide
-    return np.where(free, np.maximum(out, 1), 0).astype(np.int8)
+    n = len(t)
+    here = np.arange(n)
+    space = t[:, 0] == 1
+    after_space = np.append(True, space[:-1])
+    hands_on = (t[:, 3] == 1) & ~after_space & (t[:, 4] == 0)
+    source = np.maximum.accumulate(np.where(space | hands_on, -1, here))
+    own = np.where(t[:, 3] == 1, 0, t[:, 2])
+    level = np.where(source >= 0, own[np.maximum(source, 0)], 0)
+    lines = np.cumsum(np.where(space, t[:, 1], 0))
+    begin = np.maximum.accumulate(np.where(space & ~np.append(False, space[:-1]), here, -1))
+    count = lines - np.where(begin > 0, lines[np.maximum(begin - 1, 0)], 0)
+    level = np.where(space, np.maximum(level, np.where(count > 1, 5, np.where(count == 1, 4, 1))), level)
+    free = np.append(t[1:, 4] == 1, True) | space | (t[:, 5] == 1)
+    inside = np.append(cut[1:] & cut[:-1], False)
+    return np.where(free & ~inside, np.maximum(level, 1), 0).astype(np.int8)
 
 
 def _cut(cum: np.ndarray, end: np.ndarray, level: np.ndarray, limit: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,32 +141,60 @@ def _starts(follow: np.ndarray, first: np.ndarray) -> np.ndarray:
         jump = jump[jump]
 
 
-def cut_texts(bpe: ByteBpe, texts: list[str], limit: int, overlap: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: start and end characters, tokens and repeated tokens of its pieces."""
+def cut_texts(
+    bpe: ByteBpe, traits: Traits, texts: list[str], words: list[list[str]], limit: int, overlap: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text (given with its words): start and end characters, tokens and repeated tokens of its pieces.
+
+    A piece's tokens are those of its atoms, but for white space at its end, which is
+    one word there, and for runs of long words: these pieces are tokenized again.
+    """
+    atoms = [_atoms(bpe, w, bpe.word_sizes(w)) for w in words]
     out: list = [None] * len(texts)
     todo, limits = list(range(len(texts))), np.full(len(texts), limit)
     while todo:
-        cums, ends, levels, chars, firsts, caps, base, tokens = [], [], [], [], [], [], 0, 0
-        for i in todo:
-            atoms, size = _atoms(bpe, texts[i])
-            n = len(atoms) + 1
-            cums.append(np.append(0, np.cumsum(size)) + tokens)
-            tokens = int(cums[-1][-1]) + limit + 1  # texts stay apart in the cumulative counts
-            chars.append(np.append(0, np.cumsum([len(a) for a in atoms])))
-            levels.append(np.append(0, _strengths(atoms)))
-            firsts.append(base)
-            base += n
-            ends.append(np.full(n, base - 1))
-            caps.append(np.full(n, limits[i]))
-        cum, end, level, char, cap = (np.concatenate(x) for x in (cums, ends, levels, chars, caps))
-        stop, follow = _cut(cum, end, level, cap, overlap)
-        seen = _starts(follow, np.array(firsts))
+        sizes = [atoms[i][1] for i in todo]
+        n = np.array([len(x) for x in sizes])
+        firsts = np.append(0, np.cumsum(n + 1))[:-1]
+        gaps = np.zeros(int((n + 1).sum()), np.int64)
+        within = np.ones(len(gaps), bool)
+        within[firsts] = False  # boundary 0 of each text; texts stay apart in the cumulative counts
+        gaps[within] = np.concatenate(sizes)
+        gaps[firsts[1:]] = limit + 1
+        cum = np.cumsum(gaps)
+        flat = [a for i in todo for a in atoms[i][0]]
+        number = np.fromiter(map(bpe.index.__getitem__, flat), np.int64, len(flat))
+        t, cut = traits.of(number), np.concatenate([atoms[i][2] for i in todo])
+        char = np.zeros(len(gaps), np.int64)
+        char[within] = np.fromiter(map(len, flat), np.int64, len(flat))
+        char = np.cumsum(char)
+        char -= np.repeat(char[firsts], n + 1)
+        end = np.repeat(firsts + n, n + 1)
+        level = np.zeros(len(gaps), np.int8)
+        level[within] = _strengths(t, cut)
+        stop, follow = _cut(cum, end, level, np.repeat(limits[todo], n + 1), overlap)
+        seen = _starts(follow, firsts)
         seen[np.unique(end)] = False
         at = np.flatnonzero(seen)
-        owner = np.searchsorted(np.array(firsts), at, "right") - 1
+        owner = np.searchsorted(firsts, at, "right") - 1
         a, b = char[at], char[stop[at]]
-        pieces = [texts[todo[o]][x:y] for o, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True)]
-        size = bpe.sizes(pieces)
+        size = cum[stop[at]] - cum[at]
+        # where the piece's own tokens may differ: white space at the end, runs of long words
+        blank, runs = np.zeros(len(gaps), bool), np.zeros(len(gaps), np.int64)
+        blank[within], runs[within] = t[:, 0] == 1, cut
+        runs = np.cumsum(runs)
+        doubt = (blank[stop[at]] & (stop[at] != end[at])) | (runs[stop[at]] > runs[at])
+        whole = runs[stop[at]] > runs[at]
+        for k in np.flatnonzero(doubt).tolist():
+            piece = texts[todo[owner[k]]][a[k] : b[k]]
+            if whole[k]:
+                size[k] = bpe.sizes([piece])[0]
+            else:
+                tail = len(piece) - len(piece.rstrip())
+                j = int(stop[at[k]])
+                while blank[j] and j > at[k]:
+                    j -= 1
+                size[k] = cum[j] - cum[at[k]] + bpe.word_sizes([piece[len(piece) - tail :]])[0]
         new = np.append(True, owner[1:] != owner[:-1])
         shared = np.where(new, 0, np.append(0, cum[stop[at]][:-1]) - cum[at])
         lengths, again = b - a, []
@@ -178,13 +227,20 @@ def split_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        traits = Traits(bpe)
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 texts = b.column(1).slice(lo, hi - lo).to_pylist()
-                long = np.flatnonzero(bpe.sizes(texts) > limit).tolist()
-                cuts = cut_texts(bpe, [texts[i] for i in long], limit, overlap)
-                if not cuts:
+                if len(bpe.index) >= WORDS:
+                    bpe.clear()
+                words = [bpe.find(x) for x in texts]
+                n = np.array([len(w) for w in words])
+                total = np.append(0, np.cumsum(bpe.word_sizes([w for ws in words for w in ws])))
+                ends = np.cumsum(n)
+                long = np.flatnonzero(total[ends] - total[ends - n] > limit).tolist()
+                if not long:
                     continue
+                cuts = cut_texts(bpe, traits, [texts[i] for i in long], [words[i] for i in long], limit, overlap)
                 n = [len(c[0]) for c in cuts]
                 rows = pa.array(np.repeat(np.array(long) + lo, n))
                 cols = [np.concatenate([c[k] for c in cuts]).astype(np.int32) for k in range(4)]
