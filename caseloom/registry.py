@@ -1,9 +1,17 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core, with the SQL that checks them."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from caseloom.queries import measures, records, texts
 
-def oracle_sql() -> dict:
-    return {}
+_ALL = texts.Q | records.Q | measures.Q
+
+
+def queries() -> dict[str, Callable]:
+    return {k: f for k, (f, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
