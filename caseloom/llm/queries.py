@@ -140,3 +140,9 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from caseloom.llm.sql import SQL
+
+    return dict(SQL)
