@@ -405,3 +405,33 @@ Q["probability_vectors"] = (probability_vectors, f"""
   WITH a AS (SELECT doc_id, {_P} FROM documents), p AS (SELECT doc_id, {_PN} FROM a),
   m AS (SELECT *, greatest(p0, p1, p2, p3, p4, p5) AS m, list_reverse_sort([p0, p1, p2, p3, p4, p5]) AS o FROM p)
   SELECT doc_id, abs(p0 + p1 + p2 + p3 + p4 + p5 - 1) <= 1e-6 AS valid, CASE {_WHEN} END AS verdict, round(m, 6) AS confidence, round(o[1] - o[2], 6) AS margin FROM m""")
+
+
+def admissions(s, d):
+    from caseloom.streaming.quotas import admission_batch
+
+    e = t(s, d, "events").select(F.col("event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return admission_batch(e, 3, 600, 200).groupBy("key", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+Q["admissions"] = (admissions, None)
+
+
+def dom_parts(s, d):
+    from caseloom.operators.payloads import dom_facts
+
+    rich = t(s, d, "text_parts").where("mime_type = 'text/html'").select("part_key", "text").distinct()
+    f = dom_facts(rich, "part_key", "text")
+    return f.select("part_key", F.length("visible_text").cast("long").alias("chars"), F.size("form_fields").cast("long").alias("fields"), F.length("title").cast("long").alias("title_chars"))
+
+
+Q["dom_parts"] = (dom_parts, None)
+
+
+def window_counts(s, d):
+    e = t(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.unix_seconds("w.start").alias("start_s"), "event_type", "n")
+
+
+Q["window_counts"] = (window_counts, "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
