@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators.components import connected_components
-from caseloom.plans.staging import staged
+from caseloom.plans.staging import spread, staged
 
 MAX_DF = 32
 SIMILARITY = 0.85
@@ -27,28 +27,51 @@ def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     return hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).where("size > 1")
 
 
+def run_sets(df: DataFrame, key: str, text: Column, size: int = 5) -> DataFrame:
+    """(k, runs): the distinct hashed word runs of each record; none for shorter texts.
+
+    In steps, so that the words of a text are cut and hashed once: an expression within
+    a lambda, or used twice in one step, would be evaluated again each time.
+    """
+    rows = spread(df.select(F.col(key).alias("k"), text.alias("__text")))
+    words = rows.select("k", F.transform(F.split(tx.squash(F.col("__text")), " "), lambda w: F.xxhash64(w)).alias("__w"))
+    n = F.greatest(F.size("__w") - size + 1, F.lit(0))
+    side = F.arrays_zip(*(F.slice("__w", i + 1, n).alias(f"w{i}") for i in range(size)))
+    runs = F.transform(side, lambda x: F.xxhash64(*(x[f"w{i}"] for i in range(size))))
+    return words.select("k", F.array_distinct(F.coalesce(runs, F.array().cast("array<bigint>"))).alias("runs"))
+
+
 def run_frequencies(df: DataFrame, key: str, text: Column, size: int = 5) -> DataFrame:
     """(run, df): in how many records each hashed word run occurs."""
-    runs = df.select(F.col(key).alias("k"), F.explode(tx.shingles(text, size)).alias("run"))
+    runs = run_sets(df, key, text, size).select("k", F.explode("runs").alias("run"))
     return runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
 
 
 def near_pairs(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY, max_df: int = MAX_DF) -> DataFrame:
-    """(a, b, similarity), a < b: records that share a run of frequency 2..max_df and are similar enough."""
-    sets = staged(
-        df.select(F.col(key).alias("k"), tx.shingles(text, size).alias("runs")).where("size(runs) > 0"), "sets"
-    )
-    runs = sets.select("k", F.explode("runs").alias("run"))
+    """(a, b, similarity), a < b: records that share a run of frequency 2..max_df and are similar enough.
+
+    The number of shared rare runs, with what the other runs could add at most, bounds
+    the similarity; only pairs within the bound fetch their sets.
+    """
+    sets = staged(run_sets(df, key, text, size), "sets")
+    runs = sets.select("k", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     rare = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, max_df)).select("run")
-    held = runs.join(rare, "run")
-    pairs = (
-        held.select("run", F.col("k").alias("a")).join(held.select("run", F.col("k").alias("b")), "run")
-        .where("a < b").select("a", "b").distinct()
+    held = staged(runs.join(rare, "run"), "held")
+    counts = held.groupBy("k").agg(F.count(F.lit(1)).alias("r"))
+    side = lambda x: held.select("run", F.col("k").alias(x), F.col("n").alias(f"n{x}"))
+    alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
+    shared = (
+        side("a").join(side("b"), "run").where("a < b").where(alike).groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     )
-    full = pairs.join(sets.select(F.col("k").alias("a"), F.col("runs").alias("ra")), "a").join(
+    rest = lambda x: counts.select(F.col("k").alias(x), F.col("r").alias(f"r{x}"))
+    most = F.col("s") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    able = shared.join(rest("a"), "a").join(rest("b"), "b").where(most >= F.lit(similarity - 1e-9) * (F.col("na") + F.col("nb") - most))
+    full = able.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("runs").alias("ra")), "a").join(
         sets.select(F.col("k").alias("b"), F.col("runs").alias("rb")), "b"
     )
-    return full.select("a", "b", tx.jaccard(F.col("ra"), F.col("rb")).alias("similarity")).where(F.col("similarity") >= similarity)
+    scored = full.select("a", "b", tx.jaccard(F.col("ra"), F.col("rb")).alias("similarity"))
+    return staged(scored, "scored").where(F.col("similarity") >= similarity)
 
 
 def families(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY, max_df: int = MAX_DF) -> DataFrame:

@@ -52,3 +52,11 @@ def unstage(df: DataFrame) -> None:
         if base.split(":", 1)[-1].strip("/") in f:
             p = jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than that (a small table in
+    one file); a scan that already feeds every core is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
