@@ -5,7 +5,8 @@
 2. ``HASHES`` universal hash functions (multiply-shift, odd multipliers from a fixed
    seed) give a signature of minima; bands of ``ROWS`` minima are the bucket keys.
 3. Representatives sharing a bucket are candidates (hot buckets in blocks); their
-   signatures are compared, and those that may reach the threshold are checked exactly.
+   signatures, one bit of every minimum, are compared, and those that may reach the
+   threshold are checked exactly.
 4. Classes tied by pairs are grouped by alternating large-star and small-star.
 
 With 256 minima in 64 bands of 4 a pair of similarity 0.6 becomes a candidate with
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.components import connected_components
-from caseloom.plans.skew import self_pairs
+from caseloom.plans.skew import join_unique, self_pairs
 from caseloom.plans.staging import staged
 
 HASHES, ROWS = 256, 4
-SLACK = 0.15
+SLACK = 0.25
 #: Copies of one class are listed pairwise up to this class size; larger classes are
 #: listed as (representative, copy), which says the same.  Pairs of different classes
 #: likewise go through the members of small classes and the representative of large ones.
@@ -92,11 +93,21 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-_FEATURES = "id long, cls string, shingles binary, sig binary, bands array<long>"
+_BITS = HASHES // 64
+_FEATURES = "id long, cls string, shingles binary, bits array<long>, bands array<long>"
+
+
+def _bit_signature(sig: np.ndarray) -> np.ndarray:
+    """One bit of every minimum, in words of 64: two texts of similarity s agree in a bit with probability (1 + s) / 2."""
+    return np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def features(df: DataFrame, id_col: str, text_col: str, size: int, min_words: int) -> DataFrame:
-    """Class key, run hashes, signature and band keys of each text long enough."""
+    """Class key, run hashes, bit signature and band keys of each text long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -108,38 +119,23 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int, min_words: in
                 if not keep:
                     continue
                 sets = [sets[i] for i in keep]
-                starts = np.cumsum([0, *map(len, sets[:-1])])
-                sig = _minima(np.concatenate(sets), starts)
+                sig = _minima(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])]))
                 raw = [s.tobytes() for s in sets]
-                bands = _bands(sig)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(keep)),
-                        pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]),
-                        pa.array(raw, pa.binary()),
-                        pa.array([x.tobytes() for x in sig.astype(np.uint16)], pa.binary()),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.ravel())
-                        ),
-                    ],
-                    names=["id", "cls", "shingles", "sig", "bands"],
-                )
+                cols = [pa.array([xxhash.xxh3_128_hexdigest(x) for x in raw]), pa.array(raw, pa.binary()), _lists(_bit_signature(sig)), _lists(_bands(sig))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), *cols], names=["id", "cls", "shingles", "bits", "bands"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("id is not null and text is not null").mapInArrow(run, _FEATURES)
 
 
-def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Signature check, then exact similarity, of pairs that carry both sides' sets."""
+def _exact(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Exact similarity of pairs that carry both sides' sets; those below the threshold go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(n, -1) for c in ("sig_a", "sig_b"))
-            maybe = np.flatnonzero((sa == sb).mean(axis=1) >= threshold - SLACK)
             ok, sims = [], []
             xs, ys = b.column("sh_a"), b.column("sh_b")
-            for i in maybe.tolist():
+            for i in range(b.num_rows):
                 x, y = (np.frombuffer(c[i].as_py(), np.uint64) for c in (xs, ys))
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 # threshold compared in whole numbers where it is a decimal fraction
@@ -157,26 +153,37 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
 class NearDuplicates:
     """The stages of one run; each property is a staged or lazy table.
 
-    ``members``: (id, rep) of every text long enough; ``pairs``: (a, b, similarity) of
-    representatives of different classes.
+    ``members``: (id, rep, copies) of every text long enough; ``pairs``: (a, b,
+    similarity) of representatives of different classes.  What is shuffled shrinks step
+    by step: band keys, the keys that several texts have, pairs of ids, pairs with bit
+    signatures, and only for pairs that pass those the sets themselves.
     """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8):
         self.ids = df.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
         feats = staged(features(df, id_col, text_col, size, min_words), "runs")
         self.members = staged(self._members(feats), "members")
-        reps = staged(
-            feats.join(self.members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]), "reps"
-        )
-        buckets = staged(reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket")), "buckets")
-        candidates = self_pairs(buckets, "bucket", "rep", max(1, buckets.count()))
-        side = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"sh_{x}"))
-        self.pairs = staged(_verify(candidates.join(side("a"), "a").join(side("b"), "b"), threshold), "pairs")
+        reps = self.members.where("id = rep").select("id")
+        keys = feats.select("id", "bands").join(reps, "id", "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
+        shared = staged(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = staged(join_unique(keys, shared, "bucket", "n", max(1, total)).select("bucket", "rep"), "buckets")
+        candidates = self_pairs(buckets, "bucket", "rep", max(1, total))
+        bits = feats.select("id", "bits").dropDuplicates(["id"])
+        side = lambda x: bits.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"))
+        apart = F.lit(0)
+        for i in range(_BITS):
+            apart = apart + F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i]))
+        # similarity estimated from the share of equal bits: 2 * share - 1
+        most = int(HASHES * (1 - (1 + threshold - SLACK) / 2))
+        likely = staged(candidates.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"), "likely")
+        asked = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = feats.select("id", "shingles").join(asked, "id", "left_semi").dropDuplicates(["id"])
+        full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"sh_{x}"))
+        self.pairs = staged(_exact(likely.join(full("a"), "a").join(full("b"), "b"), threshold), "pairs")
 
     @staticmethod
     def _members(feats: DataFrame) -> DataFrame:
-        from caseloom.plans.skew import join_unique
-
         rows = feats.select("id", "cls").distinct()
         sizes = rows.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         return join_unique(rows, sizes, "cls", "copies", max(1, rows.count())).select("id", "rep", "copies")

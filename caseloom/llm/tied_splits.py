@@ -71,11 +71,10 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
     reached: DataFrame | None = None
     merges: list[DataFrame] = []
     for share in SEED_SHARES:
-        if reached is not None:
-            reached = staged(reached, "reached")
         left = nodes if reached is None else nodes.join(reached, "node", "left_anti")
         seeds = left.where(F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)) == 0)
         front = staged(seeds.select("node", F.col("node").alias("label"), "salts"), "front")
+        wave: list[DataFrame] = []
         while front.limit(1).count():
             grown = front.select("node", "label") if reached is None else reached.unionByName(front.select("node", "label"))
             asked = front.select("node", "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -83,22 +82,24 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
                 asked.join(lists, ["node", "salt"]).select(F.col("other").alias("node"), "label").distinct(), "offers"
             )
             lows = offers.groupBy("node").agg(F.min("label").alias("low"), F.count(F.lit(1)).alias("n"))
-            met = staged(
-                lows.join(grown.withColumnRenamed("label", "had"), "node", "left").withColumn("x", F.coalesce("had", "low")), "met"
-            )
+            met = lows.join(grown.withColumnRenamed("label", "had"), "node", "left").join(nodes, "node")
+            met = staged(met.withColumn("x", F.coalesce("had", "low")), "met")
             made = join_unique(offers, met.select("node", "x", "n"), "node", "n", total)
-            merges.append(staged(made.select("x", F.col("label").alias("y")).where("x <> y").distinct(), "merges"))
+            wave.append(made.select("x", F.col("label").alias("y")).where("x <> y"))
             reached = grown
-            front = staged(
-                met.where("had is null").select("node", F.col("low").alias("label")).join(nodes, "node"), "front"
-            )
+            front = met.where("had is null").select("node", F.col("low").alias("label"), "salts")
+        if wave:
+            reached = staged(reached, "reached")
+            tied = wave[0]
+            for m in wave[1:]:
+                tied = tied.unionByName(m)
+            merges.append(staged(tied.distinct(), "merges"))
     if reached is None:
         return alone.select("node", F.col("node").alias("component"))
-    reached = staged(reached, "reached")
     tied = merges[0]
     for m in merges[1:]:
         tied = tied.unionByName(m)
-    roots = connected_components(staged(tied.distinct(), "merges"), "x", "y")
+    roots = connected_components(tied, "x", "y")
     named = reached.join(roots.withColumnRenamed("node", "label"), "label", "left")
     named = named.select("node", F.coalesce("component", "label").alias("component"))
     extra = alone.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
