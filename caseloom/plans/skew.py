@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 #: At most this many keys can each hold more than 1/HOT_SHARE of the rows, so the
 #: table of hot keys has a proven bound and may be broadcast.
 HOT_SHARE = 500
-#: No key with fewer rows than this counts as hot.
-HOT_LEAST = 2_000
+#: A key with no more rows than this is no burden to a task, whatever its share.
+HOT_LEAST = 100_000
+#: The same for joins of a key's rows with one another.
+HOT_PAIRED = 2_000
 
 
-def hot_limit(total: int) -> int:
+def hot_limit(total: int, least: int | None = None) -> int:
     """Rows beyond which a key is hot; fewer than ``HOT_SHARE`` keys can exceed it."""
-    return max(HOT_LEAST, total // HOT_SHARE)
+    return max(HOT_LEAST if least is None else least, total // HOT_SHARE)
 
 
 def join_unique(big: DataFrame, unique: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
@@ -25,6 +27,8 @@ def join_unique(big: DataFrame, unique: DataFrame, key: str, size: str, total: i
     Null keys match nothing.
     """
     limit = hot_limit(total)
+    if total <= limit:  # then no key can have more rows
+        return big.join(unique, key, how)
     hot = F.broadcast(unique.where(F.col(size) > limit))
     keys = F.broadcast(unique.where(F.col(size) > limit).select(key))
     return big.join(hot, key, how).unionByName(
@@ -40,7 +44,7 @@ def self_pairs(members: DataFrame, key: str, item: str, total: int, per_task: in
     ``members`` should be staged: it is read several times.
     """
     counts = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    limit = hot_limit(total)
+    limit = hot_limit(total, HOT_PAIRED)
     hot = F.broadcast(
         counts.where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / per_task).cast("int").alias("__blocks"))
     )

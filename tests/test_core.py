@@ -199,3 +199,22 @@ def test_payloads(spark):
     assert (m["node_id"], m["score"], m["labels"]) == ("n1", 80, "a,b")
     dom = payloads.dom_facts(spark.createDataFrame([(1, "<title>T</title><script>no</script><p>yes<input type=password name=p>"), (2, None)], "k long, h string"), "k", "h").orderBy("k").collect()
     assert (dom[0]["title"], dom[0]["visible_text"], dom[0]["form_fields"]) == ("T", "yes", ["password:p"]) and dom[1]["visible_text"] == ""
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from caseloom.plans import skew
+
+    rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(900)] + [(None, -1)], "k string, v long")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, rows.join(sizes, "k").collect()))
+    monkeypatch.setattr(skew, "HOT_LEAST", 10)
+    assert sorted(map(tuple, skew.join_unique(rows, sizes, "k", "n", 900).collect())) == want
+    monkeypatch.setattr(skew, "HOT_PAIRED", 5)
+    small = rows.where("v < 120 and v >= 0")
+    got = {(r["a"], r["b"]) for r in skew.self_pairs(small, "k", "v", 120, per_task=7).collect()}
+    by = {}
+    for r in small.collect():
+        by.setdefault(r["k"], []).append(r["v"])
+    assert got == {(a, b) for m in by.values() for a in m for b in m if a < b}
+    ranks = skew.dense_rank_rows(rows.where("k is not null"), "k", F.xxhash64("v"), "r", 8).collect()
+    assert all(sorted(x["r"] for x in ranks if x["k"] == k) == list(range(sum(x["k"] == k for x in ranks))) for k in ("hot", "k1"))
