@@ -140,6 +140,9 @@ _RULES = tuple(
 _PRIORS = ((0.1, re.compile("[LX]")), (0.02, re.compile("p")), (0.2, re.compile("(?<=[aAlL])p(?=[ .])")), (0.3, re.compile("[gjm]")), (0.02, re.compile("C")))
 _RARE = re.compile("[ìòýÿøæåëìÌÒÝØÆÅËÏªº¬×·′″]")
 
+_LEANING = re.compile("[—–…€©®™°±§•](?=[^\\W\\d_])")
+_CYRILLIC, _LATIN = re.compile("[cC]"), re.compile("[aAlL]")
+
 
 def cost(text: str, fine: bool = False) -> float:
     """Implausibility of a text: 0 for clean text, about 1 and more per odd sight.
@@ -153,7 +156,9 @@ def cost(text: str, fine: bool = False) -> float:
     classes = text.translate(_CLASS)
     odd = sum(w * len(p.findall(classes)) for w, p in _RULES)
     if fine:
-        odd += sum(w * len(p.findall(classes)) for w, p in _PRIORS) + 0.05 * len(_RARE.findall(text))
+        odd += sum(w * len(p.findall(classes)) for w, p in _PRIORS) + 0.05 * len(_RARE.findall(text)) + 0.4 * len(_LEANING.findall(text))
+        other, plain = len(_CYRILLIC.findall(classes)), len(_LATIN.findall(classes))
+        odd += 0.5 if 0 < other < plain / 3 else 0  # a few letters of another script
     return odd
 
 
@@ -218,8 +223,8 @@ def _steps(text: str) -> Iterator[tuple[str, str, float]]:
                 yield f"{a}>{b}", got, _price(a, b)
 
 
-def _search(text: str) -> tuple[str, float, str]:
-    """The cheapest text reached from ``text``, its own cost and the way to it."""
+def _search(text: str) -> tuple[str, float, str, float]:
+    """The cheapest text reached from ``text``, its own cost, the way to it and its price."""
     begin = cost(text, True)
     best, best_paid, good = (begin, text, ""), 0.0, False
     heap = [(begin, 0, text, "", 0.0)]
@@ -239,7 +244,7 @@ def _search(text: str) -> tuple[str, float, str]:
             if total < best[0]:
                 best, best_paid, good = (total, got, path), paid + price, cost(got) < PLAUSIBLE
             heapq.heappush(heap, (total, depth + 1, got, path, paid + price))
-    return best[1], cost(best[1]), best[2]
+    return best[1], cost(best[1]), best[2], best_paid
 
 
 _CUTS = (re.compile(r"(\n+|(?<=>)(?=<))"), re.compile(r"((?<=[.!?;:>]) +)"), re.compile(r"( +)"))
@@ -249,14 +254,15 @@ def _mend(text: str, level: int, ways: list[str]) -> str:
     before = cost(text)
     if before < GAIN:
         return text
-    got, after, way = _search(text)
-    if after < GAIN <= before - after + 0.1:
+    got, after, way, paid = _search(text)
+    if after < GAIN <= before - after + 0.1 and paid <= 2 * STEP + 1e-9:
         ways.append(way)
         return got
     if level < len(_CUTS):  # parts: each mended for itself, compared with the whole
         own: list[str] = []
         parts = "".join(_mend(p, level + 1, own) for p in _CUTS[level].split(text))
-        if cost(parts) <= after + 1e-9:
+        # of a far-fetched way for the whole and nearer ones for its parts, the parts
+        if cost(parts) <= after + (GAIN if paid > 2 * STEP + 1e-9 else 1e-9):
             ways.extend(own)
             return parts
     if before - after >= GAIN - 0.1:
