@@ -131,7 +131,7 @@ _RULES = tuple(
         # accented letters in a row
         (1.0, "(?<=[lLxX][lLxX])[lLxX]"), (1.5, "(?<=[lxX])L"), (1.2, "L(?=[p][a ])"),
         # what two- and three-byte characters become
-        (1.2, "[lLxX](?=[ps][qpsw])"), (0.7, "L(?=w)"),
+        (1.2, "[lLxX](?=[ps][qpsw])"), (0.7, "L(?=w)"), (0.7, "L(?=[lx])"),
     )
 )
 
@@ -141,6 +141,8 @@ _PRIORS = ((0.1, re.compile("[LX]")), (0.02, re.compile("p")), (0.2, re.compile(
 _RARE = re.compile("[ìòýÿøæåëìÌÒÝØÆÅËÏªº¬×·′″]")
 
 _LEANING = re.compile("[—–…€©®™°±§•](?=[^\\W\\d_])")
+#: What is left of a two-byte character whose second byte became a blank.
+_LONE = re.compile(r"(?<!\w)[ÂÃ](?!\w)")
 _CYRILLIC, _LATIN = re.compile("[cC]"), re.compile("[aAlL]")
 
 
@@ -154,7 +156,7 @@ def cost(text: str, fine: bool = False) -> float:
     if text.isascii():
         return 0.0
     classes = text.translate(_CLASS)
-    odd = sum(w * len(p.findall(classes)) for w, p in _RULES)
+    odd = sum(w * len(p.findall(classes)) for w, p in _RULES) + 0.8 * len(_LONE.findall(text))
     if fine:
         odd += sum(w * len(p.findall(classes)) for w, p in _PRIORS) + 0.05 * len(_RARE.findall(text)) + 0.4 * len(_LEANING.findall(text))
         other, plain = len(_CYRILLIC.findall(classes)), len(_LATIN.findall(classes))
@@ -202,7 +204,7 @@ def _runs(text: str, read_as: str) -> str:
 
     got = _multibyte(read_as).sub(one, text)
     # the second byte of a grave is a no-break space here, often made a plain blank since
-    return _BLANKED.sub("à", got) if got != text and read_as in ("cp1252", "latin-1", "iso8859-15", "cp1250") else got
+    return _BLANKED.sub("à", got) if (got != text or _LONE.search(text)) and read_as in ("cp1252", "latin-1", "iso8859-15", "cp1250") else got
 
 
 def _steps(text: str) -> Iterator[tuple[str, str, float]]:
