@@ -257,3 +257,72 @@ Q["recipients_known"] = (recipients_known, f"""
   c AS (SELECT {_SPEC.format('e')} AS mailbox FROM (SELECT unnest(cc_addresses) AS e FROM m)),
   o AS (SELECT DISTINCT {_SPEC.format('e')} AS mailbox FROM (SELECT unnest(to_addresses) AS e FROM m))
   SELECT mailbox, count(*) AS n FROM c WHERE mailbox IN (SELECT mailbox FROM o WHERE mailbox IS NOT NULL) GROUP BY mailbox""")
+
+
+def forbidden_keys(s, d):
+    from caseloom.operators.jsonchecks import forbidden_keys as check
+
+    e = t(s, d, "corpus_manifest").select("sample_id", "header_presence").distinct()
+    return check(e, "sample_id", "header_presence", ["Received", "bcc"])
+
+
+Q["forbidden_keys"] = (forbidden_keys, "SELECT DISTINCT sample_id, '$.received' AS problem FROM corpus_manifest WHERE list_contains(json_keys(header_presence), 'received')")
+
+
+def schema_violations(s, d):
+    from caseloom.operators.jsonchecks import schema_violations as check
+
+    schema = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 80}}}
+    bad = check(t(s, d, "events").select("event_id", "props"), "event_id", "props", schema)
+    return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+Q["schema_violations"] = (schema_violations, "SELECT '$.k: above 80' AS problem, count(*) AS n FROM events WHERE (props->>'$.k')::BIGINT > 80 HAVING count(*) > 0")
+
+
+def retrieval_texts(s, d):
+    """What a message is searched by: subject and texts in order of their keys, cut to 500 characters."""
+    m = t(s, d, "parsed_emails").select("email_id", "subject").distinct()
+    p = t(s, d, "text_parts").select("email_id", "part_key", "text").distinct().where("text <> ''")
+    texts = p.groupBy("email_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_key", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    q = m.join(texts, "email_id", "left").select("email_id", F.substring(F.concat_ws("\n", "subject", "body"), 1, 500).alias("q"))
+    return q.select("email_id", F.length("q").cast("long").alias("chars"), F.sha2("q", 256).alias("print"))
+
+
+Q["retrieval_texts"] = (retrieval_texts, """
+  WITH m AS (SELECT DISTINCT email_id, subject FROM parsed_emails), p AS (SELECT DISTINCT email_id, part_key, text FROM text_parts WHERE text <> ''),
+  b AS (SELECT email_id, string_agg(text, chr(10) ORDER BY part_key) AS body FROM p GROUP BY email_id),
+  q AS (SELECT email_id, substring(concat_ws(chr(10), subject, body), 1, 500) AS q FROM m LEFT JOIN b USING (email_id))
+  SELECT email_id, length(q)::BIGINT AS chars, sha256(q) AS print FROM q""")
+
+
+def input_audit(s, d):
+    """What a message brings: parts, characters, links, distinct targets, results asked for."""
+    p = t(s, d, "text_parts").select("email_id", "part_key", F.length("text").alias("n")).distinct().groupBy("email_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("chars"))
+    l = t(s, d, "links").select("email_id", "link_id", "normalized_value").distinct().groupBy("email_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("normalized_value").alias("targets"))
+    r = t(s, d, "tool_results").select("email_id", "result_id", "requests_sent").distinct().groupBy("email_id").agg(F.count(F.lit(1)).alias("results"), F.sum("requests_sent").alias("requests"))
+    m = t(s, d, "parsed_emails").select("email_id").distinct()
+    full = m.join(p, "email_id", "left").join(l, "email_id", "left").join(r, "email_id", "left")
+    return full.na.fill(0, ["parts", "chars", "links", "targets", "results", "requests"])
+
+
+Q["input_audit"] = (input_audit, """
+  SELECT email_id, coalesce(parts, 0) AS parts, coalesce(chars, 0)::BIGINT AS chars, coalesce(links, 0) AS links, coalesce(targets, 0) AS targets, coalesce(results, 0) AS results, coalesce(requests, 0)::BIGINT AS requests
+  FROM (SELECT DISTINCT email_id FROM parsed_emails)
+  LEFT JOIN (SELECT email_id, count(*) AS parts, sum(n) AS chars FROM (SELECT DISTINCT email_id, part_key, length(text) AS n FROM text_parts) GROUP BY 1) USING (email_id)
+  LEFT JOIN (SELECT email_id, count(*) AS links, count(DISTINCT normalized_value) AS targets FROM (SELECT DISTINCT email_id, link_id, normalized_value FROM links) GROUP BY 1) USING (email_id)
+  LEFT JOIN (SELECT email_id, count(*) AS results, sum(requests_sent) AS requests FROM (SELECT DISTINCT email_id, result_id, requests_sent FROM tool_results) GROUP BY 1) USING (email_id)""")
+
+
+def bounded_targets(s, d):
+    """Up to 20 distinct targets of a message in order, cut before they are collected."""
+    from pyspark.sql import Window
+
+    one = t(s, d, "links").select("email_id", "normalized_value").where("normalized_value is not null").distinct()
+    top = one.withColumn("r", F.row_number().over(Window.partitionBy("email_id").orderBy("normalized_value"))).where("r <= 20")
+    return top.groupBy("email_id").agg(F.array_join(F.array_sort(F.collect_list("normalized_value")), " ").alias("targets"))
+
+
+Q["bounded_targets"] = (bounded_targets, """
+  WITH o AS (SELECT DISTINCT email_id, normalized_value AS v FROM links WHERE normalized_value IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY v) AS n FROM o) SELECT email_id, string_agg(v, ' ' ORDER BY v) AS targets FROM r WHERE n <= 20 GROUP BY email_id""")

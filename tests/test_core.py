@@ -218,3 +218,19 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert got == {(a, b) for m in by.values() for a in m for b in m if a < b}
     ranks = skew.dense_rank_rows(rows.where("k is not null"), "k", F.xxhash64("v"), "r", 8).collect()
     assert all(sorted(x["r"] for x in ranks if x["k"] == k) == list(range(sum(x["k"] == k for x in ranks))) for k in ("hot", "k1"))
+
+
+def test_json_checks(spark):
+    from caseloom.operators.jsonchecks import forbidden_keys, schema_violations
+
+    df = spark.createDataFrame([(1, '{"a":{"Secret":null},"b":[{"SECRET":1}]}'), (2, "{"), (3, None), (4, "{}")], "k long, j string")
+    assert sorted((r["k"], r["problem"]) for r in forbidden_keys(df, "k", "j", ["secret"]).collect()) == [(1, "$.a.Secret"), (1, "$.b[0].SECRET"), (2, "$: does not parse")]
+    schema = {
+        "type": "object", "required": ["p"], "additionalProperties": False, "$defs": {"p": {"type": "number", "minimum": 0, "maximum": 1}},
+        "properties": {"p": {"$ref": "#/$defs/p"}, "l": {"anyOf": [{"type": "null"}, {"enum": ["x", "y"]}]}, "a": {"type": "array", "maxItems": 2, "items": {"type": "string", "minLength": 1}}},
+    }
+    rows = [(1, '{"p":0.5,"l":null,"a":["q"]}'), (2, '{"p":2,"l":"z","a":["","b","c"],"o":1}'), (3, '{"p":true}'), (4, "[]"), (5, "{}")]
+    got = {}
+    for r in schema_violations(spark.createDataFrame(rows, "k long, j string"), "k", "j", schema).collect():
+        got.setdefault(r["k"], []).append(r["problem"])
+    assert 1 not in got and len(got[2]) == 5 and got[3] == ["$.p: is no number"] and got[4] == ["$: is no object"] and got[5] == ["$: lacks p"]
