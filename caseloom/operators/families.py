@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators.components import connected_components
+from caseloom.plans.skew import hot_limit, join_unique
 from caseloom.plans.staging import spread, staged
 
 MAX_DF = 32
@@ -18,11 +19,7 @@ SIMILARITY = 0.85
 
 
 def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """(hash, members, group_id, size, first) of contents held by several records.
-
-    Members are collected per group only to name it; groups of copies are meant to be
-    small here, ``llm.near_duplicates`` serves corpora with large ones.
-    """
+    """(hash, size, first) of contents held by several records; no members are collected."""
     hashed = df.select(F.col(key).alias("k"), tx.content_hash(content).alias("hash")).where("hash is not null and hash <> ''")
     return hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("first")).where("size > 1")
 
@@ -55,8 +52,13 @@ def near_pairs(df: DataFrame, key: str, text: Column, size: int = 5, similarity:
     """
     sets = staged(run_sets(df, key, text, size), "sets")
     runs = sets.select("k", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    rare = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, max_df)).select("run")
-    held = staged(runs.join(rare, "run"), "held")
+    dfs = staged(runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dfs")
+    total = dfs.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    calm = runs
+    if total > hot_limit(total):  # runs in a large share of all records (footers) are not even shuffled
+        hot = dfs.where(F.col("df") > F.greatest(F.lit(hot_limit(total)), F.lit(max_df))).select("run")
+        calm = runs.join(F.broadcast(hot), "run", "left_anti")
+    held = staged(calm.join(dfs.where(F.col("df") <= max_df).select("run"), "run"), "held")
     counts = held.groupBy("k").agg(F.count(F.lit(1)).alias("r"))
     side = lambda x: held.select("run", F.col("k").alias(x), F.col("n").alias(f"n{x}"))
     alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
@@ -77,15 +79,15 @@ def near_pairs(df: DataFrame, key: str, text: Column, size: int = 5, similarity:
 def families(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY, max_df: int = MAX_DF) -> DataFrame:
     """(key, family, family_size): records tied by equal content or near pairs; root = least key."""
     body = tx.squash(text)
-    hashed = df.select(F.col(key).alias("k"), F.nullif(tx.content_hash(body), F.lit("")).alias("h"))
-    firsts = hashed.where("h is not null").groupBy("h").agg(F.min("k").alias("first"))
-    exact = hashed.join(firsts, "h").where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    hashed = staged(df.select(F.col(key).alias("k"), F.nullif(tx.content_hash(body), F.lit("")).alias("h")), "hashed")
+    firsts = hashed.where("h is not null").groupBy("h").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    exact = join_unique(hashed, firsts, "h", "n", hashed.count()).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
     ties = exact.unionByName(near_pairs(df, key, text, size, similarity, max_df).select("a", "b"))
     comps = connected_components(staged(ties, "ties"), "a", "b")
     named = df.select(F.col(key).alias("k")).distinct().join(comps.withColumnRenamed("node", "k"), "k", "left")
     named = staged(named.select(F.col("k").alias(key), F.coalesce("component", "k").alias("family")), "families")
     sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
-    return named.join(sizes, "family").select(key, "family", "family_size")
+    return join_unique(named, sizes, "family", "family_size", named.count()).select(key, "family", "family_size")
 
 
 def family_stats(members: DataFrame, family: str, dataset: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.staging import staged
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``; the others are dropped.
@@ -69,6 +71,19 @@ def collapse_issues(issues: DataFrame, keys: list[str], pos: str) -> DataFrame:
 
 
 def ordinals(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """1-based number within the group, with the group's name: ``name_00001``."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn(out, F.concat(F.col(group), F.lit("_"), F.lpad(F.row_number().over(w).cast("string"), 5, "0")))
+    """1-based number within the group, with the group's name: ``name_00001``.
+
+    Rows are sorted over range partitions; a partition's rows of a group are numbered
+    from the count of that group's rows in the partitions before it, so a group of any
+    size is spread over tasks.  ``order`` must be unique within the group.
+    """
+    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(n, group, *order)
+    parts = staged(ranged.withColumn("__p", F.spark_partition_id()), "ranged")
+    counts = parts.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__c"))  # groups + partitions rows at most
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy(group, "__p").orderBy(*order))
+    numbered = parts.withColumn("__r", inside).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    no = F.lpad((F.col("__r") + F.col("__off")).cast("string"), 5, "0")
+    return numbered.withColumn(out, F.concat(F.col(group), F.lit("_"), no)).select(*df.columns, out)

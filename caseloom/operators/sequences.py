@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.skew import join_unique
+
 
 def _running(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,11 +80,22 @@ def call_budget(df: DataFrame, run: str, order: list[str], pair: list[str], spec
     return out.select(run, *(F.col(f"x.c.{o}").alias(o) for o in order), F.col("x.said").alias("outcome"))
 
 
-def sliding_count(df: DataFrame, key: str, ts: str, seconds: float, out: str) -> DataFrame:
-    """Rows of the key in the half-open last ``seconds`` up to and with each row."""
-    micros = F.unix_micros(ts)
-    w = Window.partitionBy(key).orderBy("__us").rangeBetween(-int(seconds * 1_000_000) + 1, 0)
-    return df.withColumn("__us", micros).withColumn(out, F.count(F.lit(1)).over(w)).drop("__us")
+def sliding_count(df: DataFrame, key: str, ts: str, seconds: float, out: str, span: float = 86_400) -> DataFrame:
+    """Rows of the key in the half-open last ``seconds`` up to and with each row.
+
+    Keys are cut into spans of time; a row near a span's end is lent to the next spans
+    that its window reaches, so a key of any length is spread over tasks.  Rows without a
+    time count nothing and have 0.
+    """
+    width = int(max(span, seconds) * 1_000_000)
+    reach = int(seconds * 1_000_000) - 1
+    us = F.unix_micros(ts)
+    timed = df.withColumn("__us", us).withColumn("__own", F.floor(us / width))
+    # at most two spans, as a span is no shorter than the window
+    lent = timed.withColumn("__span", F.explode(F.array_distinct(F.array("__own", F.floor((F.col("__us") + reach) / width)))))
+    w = Window.partitionBy(key, "__span").orderBy("__us").rangeBetween(-reach, 0)
+    counted = lent.withColumn(out, F.when(F.col("__us").isNull(), F.lit(0)).otherwise(F.count(F.lit(1)).over(w)))
+    return counted.where("__span <=> __own").drop("__us", "__own", "__span")
 
 
 def daily_count(df: DataFrame, key: str, ts: str, order: list[str], out: str) -> DataFrame:
@@ -93,17 +106,36 @@ def daily_count(df: DataFrame, key: str, ts: str, order: list[str], out: str) ->
 
 
 def failure_streaks(df: DataFrame, key: str, order: list[str], failed: Column, out: str) -> DataFrame:
-    """Consecutive failures up to each row; a success sets the count back to 0."""
-    w = _running([key], order)
-    island = df.withColumn("__f", failed.cast("int")).withColumn("__i", F.sum(1 - F.col("__f")).over(w))
-    inside = Window.partitionBy(key, "__i").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn(out, F.sum("__f").over(inside)).drop("__f", "__i")
+    """Consecutive failures up to each row; a success sets the count back to 0.
+
+    ``order[0]`` is a time.  Streaks are counted within days; what a day inherits is the
+    streak at the end of the days before it, a window over days and not over rows.
+    """
+    days = df.withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int")).withColumn("__d", F.to_date(order[0]))
+    w = _running([key, "__d"], order)
+    island = days.withColumn("__i", F.sum(1 - F.col("__f")).over(w))
+    inside = Window.partitionBy(key, "__d", "__i").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = island.withColumn("__s", F.sum("__f").over(inside))
+    last = F.struct(*order)
+    per = local.groupBy(key, "__d").agg(F.max_by("__s", last).alias("__end"), F.max("__i").alias("__ok"))
+    before = Window.partitionBy(key).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    # days since the last success add up: number the stretches of days by successes before them
+    stretch = per.withColumn("__g", F.coalesce(F.sum((F.col("__ok") > 0).cast("int")).over(before), F.lit(0)))
+    within = Window.partitionBy(key, "__g").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.last(F.when(F.col("__ok") > 0, F.col("__end")), True).over(before)
+    carried = stretch.withColumn("__in", F.coalesce(tail, F.lit(0)) + F.coalesce(F.sum(F.when(F.col("__ok") == 0, F.col("__end"))).over(within), F.lit(0)))
+    joined = local.join(carried.select(F.col(key).alias("__k"), F.col("__d").alias("__e"), "__in"), F.col(key).eqNullSafe(F.col("__k")) & F.col("__d").eqNullSafe(F.col("__e")))
+    total = F.when(F.col("__i") == 0, F.col("__s") + F.col("__in")).otherwise(F.col("__s"))
+    return joined.withColumn(out, total).drop("__f", "__d", "__i", "__s", "__k", "__e", "__in")
 
 
 def elapsed_ms(df: DataFrame, key: str, ts: str, out: str) -> DataFrame:
-    """Milliseconds since the key's first row."""
-    first = F.min(F.unix_micros(ts)).over(Window.partitionBy(key))
-    return df.withColumn(out, (F.unix_micros(ts) - first) / 1000)
+    """Milliseconds since the key's first row; rows without a key or time have null."""
+    firsts = df.groupBy(key).agg(F.min(F.unix_micros(ts)).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    total = df.count()
+    timed = join_unique(df.where(F.col(key).isNotNull()), firsts, key, "__n", total)
+    rest = df.where(F.col(key).isNull()).withColumn("__first", F.lit(None).cast("long")).withColumn("__n", F.lit(None).cast("long"))
+    return timed.unionByName(rest).withColumn(out, (F.unix_micros(ts) - F.col("__first")) / 1000).drop("__first", "__n")
 
 
 def sections(lines: DataFrame, file: str, no: str, line: str) -> DataFrame:

@@ -234,3 +234,38 @@ def test_json_checks(spark):
     for r in schema_violations(spark.createDataFrame(rows, "k long, j string"), "k", "j", schema).collect():
         got.setdefault(r["k"], []).append(r["problem"])
     assert 1 not in got and len(got[2]) == 5 and got[3] == ["$.p: is no number"] and got[4] == ["$: is no object"] and got[5] == ["$: lacks p"]
+
+
+def test_streaks_over_days(spark):
+    import random
+
+    rng = random.Random(2)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(k, i, (base + pd.Timedelta(hours=rng.randrange(24 * 9))).to_pydatetime(), rng.random() < 0.75) for k in ("a", "b") for i in range(60)]
+    rows += [("c", i, (base + pd.Timedelta(days=i)).to_pydatetime(), True) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp, bad boolean")
+    got = {(r["k"], r["i"]): r["streak"] for r in sequences.failure_streaks(df, "k", ["ts", "i"], F.col("bad"), "streak").collect()}
+    run: dict = {}
+    for k, i, _, bad in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        run[k] = run.get(k, 0) + 1 if bad else 0
+        assert got[(k, i)] == run[k]
+
+
+def test_sliding_over_spans(spark):
+    import random
+
+    rng = random.Random(4)
+    base = pd.Timestamp("2024-01-01")
+    secs = [rng.randrange(4000) for _ in range(200)]
+    df = spark.createDataFrame([("a", i, (base + pd.Timedelta(seconds=s)).to_pydatetime()) for i, s in enumerate(secs)], "k string, i long, ts timestamp")
+    for span in (300, 10_000):
+        got = {r["i"]: r["n"] for r in sequences.sliding_count(df, "k", "ts", 300, "n", span).collect()}
+        assert got == {i: sum(s - 300 < x <= s for x in secs) for i, s in enumerate(secs)}
+    e = sequences.elapsed_ms(df.unionByName(df.limit(1).withColumn("k", F.lit(None).cast("string"))), "k", "ts", "ms").where("k is not null").collect()
+    assert {r["i"]: r["ms"] for r in e} == {i: (s - min(secs)) * 1000.0 for i, s in enumerate(secs)}
+
+
+def test_ordinals(spark):
+    df = spark.createDataFrame([(g, i) for i in range(40) for g in ("a", "b")], "g string, i long")
+    got = {(r["g"], r["i"]): r["o"] for r in keyed.ordinals(df.repartition(5), "g", ["i"], "o").collect()}
+    assert got == {(g, i): f"{g}_{i + 1:05d}" for i in range(40) for g in ("a", "b")}
