@@ -9,7 +9,7 @@ a third of all rows is one node whose distinct ties alone are walked.
 * A wave seeds a share of the unreached nodes and expands all seeds at once, one round
   per step: a reached node takes the least label offered, a node offered different
   labels (or reached again under another) adds an edge between those labels.
-* Waves with rising shares (1/8, 1/2, all) reach every node: the last seeds all the rest.
+* Two waves (a quarter of the nodes, then all that are left) reach every node.
 * The label graph, small beside the record graph, is merged by star components.
 
 Splits: components are ordered by hash and cut by cumulative record count.  Components
@@ -30,7 +30,7 @@ from caseloom.operators.components import connected_components
 from caseloom.plans.skew import hot_limit, join_unique
 from caseloom.plans.staging import staged
 
-SEED_SHARES = (8, 2, 1)
+SEED_SHARES = (4, 1)
 LARGE = 0.01
 #: Neighbours of a node kept in one adjacency list; more are spread over salts.
 LIST_SIZE = 10_000
