@@ -207,7 +207,8 @@ def _runs(text: str, read_as: str) -> str:
     return _BLANKED.sub("à", got) if (got != text or _LONE.search(text)) and read_as in ("cp1252", "latin-1", "iso8859-15", "cp1250") else got
 
 
-def _steps(text: str) -> Iterator[tuple[str, str, float]]:
+def _steps(text: str, whole: bool) -> Iterator[tuple[str, str, float]]:
+    """Operations on a state: unescaping, multi-byte runs, and (``whole``) recoding of all of it."""
     high = {c for c in text if c > "\x7f" and c != LOST}
     if "&" in text and (got := _unescape(text)) != text:
         yield "unescape", got, 0.0
@@ -218,7 +219,7 @@ def _steps(text: str) -> Iterator[tuple[str, str, float]]:
             continue
         if (got := _runs(text, a)) != text:
             yield f"{a}>utf-8 runs", got, _price(a, "utf-8")
-        if len(shared) < len(high) or LOST in text:
+        if not whole or len(shared) < len(high) or LOST in text:
             continue
         for b in _WRITTEN_IN:
             if a != b and (got := _recode(text, a, b)) is not None and got != text:
@@ -226,7 +227,16 @@ def _steps(text: str) -> Iterator[tuple[str, str, float]]:
 
 
 def _search(text: str) -> tuple[str, float, str, float]:
-    """The cheapest text reached from ``text``, its own cost, the way to it and its price."""
+    """The cheapest text reached from ``text``, its own cost, the way to it and its price.
+
+    Multi-byte runs are strong evidence, so ways through them alone are searched first;
+    all operations are only where these reach nothing plausible.
+    """
+    got = _walk(text, False)
+    return got if got[1] < PLAUSIBLE and got[0] != text else _walk(text, True)
+
+
+def _walk(text: str, whole: bool) -> tuple[str, float, str, float]:
     begin = cost(text, True)
     best, best_paid, good = (begin, text, ""), 0.0, False
     heap = [(begin, 0, text, "", 0.0)]
@@ -237,7 +247,7 @@ def _search(text: str) -> tuple[str, float, str, float]:
             continue  # a plausible text is known that took no more operations
         if depth == DEPTH or cost(now) < PLAUSIBLE:  # what is plausible is not changed further
             continue
-        for op, got, price in _steps(now):
+        for op, got, price in _steps(now, whole):
             if (key := hash(got)) in seen:
                 continue
             seen.add(key)
