@@ -117,21 +117,22 @@ class _Classes(dict):
 
 
 _CLASS = _Classes()
-#: (weight, pattern over classes): implausible sights, counted without overlap.
+#: (weight, pattern over classes, classes one of which must occur): implausible sights, counted without overlap.
 _RULES = tuple(
-    (w, re.compile(p))
-    for w, p in (
-        (4.0, "n"), (2.5, "b"), (1.2, "s"), (1.6, "[kK]"), (0.8, "[xX]"), (0.3, "m"), (1.0, "(?<=[aAlL])j|j(?=[aAlL])"), (0.8, "g(?=[aAlLxX])|(?<=[aAlLxX])g"),
+    (w, re.compile(p), frozenset(need))
+    for w, p, need in (
+        (4.0, "n", "n"), (2.5, "b", "b"), (1.2, "s", "s"), (1.6, "[kK]", "kK"), (0.8, "[xX]", "xX"), (0.3, "m", "m"),
+        (1.0, "(?<=[aAlL])j|j(?=[aAlL])", "j"), (0.8, "g(?=[aAlLxX])|(?<=[aAlLxX])g", "g"),
         # a symbol or typographic sign between letters, or leaning on one from the left
-        (1.5, "(?<=[aAlLcCxX])[psbn](?=[aAlLcCxX])"), (1.0, "(?<=[alcx])[sb]"), (1.0, "(?<=[LX])p"), (0.6, "(?<=[lx])p(?![ .qad])"),
+        (1.5, "(?<=[aAlLcCxX])[psbn](?=[aAlLcCxX])", "psbn"), (1.0, "(?<=[alcx])[sb]", "sb"), (1.0, "(?<=[LX])p", "p"), (0.6, "(?<=[lx])p(?![ .qad])", "p"),
         # capitals after small letters
-        (2.2, "(?<=[alx])[LX]"), (2.2, "(?<=c)C"), (0.7, "(?<=[lx])A"),
+        (2.2, "(?<=[alx])[LX]", "LX"), (2.2, "(?<=c)C", "C"), (0.7, "(?<=[lx])A", "lx"),
         # scripts mixed within a word
-        (2.0, "(?<=[aAlLxX])[cCkK]"), (2.0, "(?<=[cCkK])[aAlLxX]"),
+        (2.0, "(?<=[aAlLxX])[cCkK]", "cCkK"), (2.0, "(?<=[cCkK])[aAlLxX]", "cCkK"),
         # accented letters in a row
-        (1.0, "(?<=[lLxX][lLxX])[lLxX]"), (1.5, "(?<=[lxX])L"), (1.2, "L(?=[p][a ])"),
+        (1.0, "(?<=[lLxX][lLxX])[lLxX]", "lLxX"), (1.5, "(?<=[lxX])L", "L"), (1.2, "L(?=[p][a ])", "L"),
         # what two- and three-byte characters become
-        (1.2, "[lLxX](?=[ps][qpsw])"), (0.7, "L(?=w)"), (0.7, "L(?=[lx])"),
+        (1.2, "[lLxX](?=[ps][qpsw])", "ps"), (0.7, "L(?=w)", "w"), (0.7, "L(?=[lx])", "L"),
     )
 )
 
@@ -156,7 +157,10 @@ def cost(text: str, fine: bool = False) -> float:
     if text.isascii():
         return 0.0
     classes = text.translate(_CLASS)
-    odd = sum(w * len(p.findall(classes)) for w, p in _RULES) + 0.8 * len(_LONE.findall(text))
+    there = set(classes)
+    odd = sum(w * len(p.findall(classes)) for w, p, need in _RULES if not need.isdisjoint(there))
+    if "L" in there:
+        odd += 0.8 * len(_LONE.findall(text))
     if fine:
         odd += sum(w * len(p.findall(classes)) for w, p in _PRIORS) + 0.05 * len(_RARE.findall(text)) + 0.4 * len(_LEANING.findall(text))
         other, plain = len(_CYRILLIC.findall(classes)), len(_LATIN.findall(classes))
