@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN = "caseloom.staging.dir"
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -36,6 +37,7 @@ def staged(df: DataFrame, name: str = "stage", partition_by: list[str] | None =
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -54,6 +56,19 @@ def unstage(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Removes every intermediate this application has written; returns their number.
+
+    For the end of a job: results that are still to be read from intermediates are lost.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, set())
+    jvm = spark.sparkContext._jvm
+    for f in paths:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer partitions than that (a small table in
     one file); a scan that already feeds every core is left as it is, without a shuffle.

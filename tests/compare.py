@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from pathlib import Path
 
 import duckdb
@@ -41,3 +43,11 @@ def differences(spark, con, folder: str, query, sql: str) -> str:
         return ""
     only = [r for r in x if r not in set(y)][:3], [r for r in y if r not in set(x)][:3]
     return f"{len(x)} and {len(y)} rows; only here {only[0]}; only in SQL {only[1]}"
+
+
+def plan(df) -> str:
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
