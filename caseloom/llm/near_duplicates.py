@@ -39,6 +39,8 @@ SLACK = 0.25
 #: listed as (representative, copy), which says the same.  Pairs of different classes
 #: likewise go through the members of small classes and the representative of large ones.
 PAIRWISE_UP_TO = 64
+#: Keys of 8 bytes that may be broadcast; more are joined by shuffle.
+CHECKED = 500_000
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240131)
 _MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,10 +167,18 @@ class NearDuplicates:
         self.members = staged(self._members(feats), "members")
         reps = self.members.where("id = rep").select("id")
         keys = feats.select("id", "bands").join(reps, "id", "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
-        shared = staged(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-        total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        buckets = staged(join_unique(keys, shared, "bucket", "n", max(1, total)).select("bucket", "rep"), "buckets")
-        candidates = self_pairs(buckets, "bucket", "rep", max(1, total))
+        ends = (F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+        shared = staged(keys.groupBy("bucket").agg(*ends).where("a < b"), "shared")
+        candidates = shared.where("n = 2").select("a", "b")  # most shared keys: their two texts are known already
+        many, total = shared.where("n > 2").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if many:
+            asked = shared.where("n > 2").select("bucket", "n")
+            if many <= CHECKED:  # a checked size; beyond it keys meet by shuffle, hot ones by broadcast
+                held = keys.join(F.broadcast(asked.select("bucket")), "bucket", "left_semi")
+            else:
+                held = join_unique(keys, asked, "bucket", "n", total).select("bucket", "rep")
+            candidates = candidates.unionByName(self_pairs(staged(held, "buckets"), "bucket", "rep", total))
+        candidates = candidates.distinct()
         bits = feats.select("id", "bits").dropDuplicates(["id"])
         side = lambda x: bits.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"))
         apart = F.lit(0)

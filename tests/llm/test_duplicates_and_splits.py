@@ -34,7 +34,9 @@ def rows():
     return out + [(901, None), (902, ""), (903, "one two"), (904, "q " * 50_000), (905, "q " * 40_000), (None, "a b c d e f g h i j k l m n"), out[0]]
 
 
-def test_pairs_equal_brute_force(spark, rows):
+@pytest.mark.parametrize("checked", [500_000, 0])
+def test_pairs_equal_brute_force(spark, rows, monkeypatch, checked):
+    monkeypatch.setattr(nd, "CHECKED", checked)
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "id long, text string, rep int")  # a clashing extra column
     got = [(r["a"], r["b"]) for r in nd.near_duplicate_pairs(df, "id", "text", 3, 12, 0.6).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 12, 0.6) and (904, 905) in got
