@@ -1,20 +1,20 @@
 """Exact and near duplicates of records, and the families they form.
 
-The near-duplicate join of the core goes through rare word runs: runs that more than
-``max_df`` records share are no evidence, which also bounds every join group.
+The near-duplicate join of the core is exact: records of equal run sets are one class, and
+two classes are compared if they share one of their rarest runs (a prefix filter, which
+loses no pair that is similar enough), however many records hold the run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as tx
 from caseloom.operators.components import connected_components
-from caseloom.plans.skew import hot_limit, join_unique
+from caseloom.plans.skew import HOT_PAIRED, class_pairs, hot_limit, join_unique
 from caseloom.plans.staging import spread, staged
 
-MAX_DF = 32
 SIMILARITY = 0.85
 
 
@@ -44,45 +44,64 @@ def run_frequencies(df: DataFrame, key: str, text: Column, size: int = 5) -> Dat
     return runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
 
 
-def near_pairs(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY, max_df: int = MAX_DF) -> DataFrame:
-    """(a, b, similarity), a < b: records that share a run of frequency 2..max_df and are similar enough.
+def run_classes(df: DataFrame, key: str, text: Column, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``(members, sets)``: (item, rep, copies) of every record with runs, and (k, n, runs) of each rep."""
+    sets = staged(run_sets(df, key, text, size), "sets").where(F.size("runs") > 0).select("k", F.sort_array("runs").alias("runs"))
+    same = F.struct(F.size("runs"), F.xxhash64("runs"), F.xxhash64(F.lit(1), F.col("runs")))
+    rows = sets.select(F.col("k").alias("item"), same.alias("__c"))
+    sizes = rows.groupBy("__c").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = staged(join_unique(rows, sizes, "__c", "copies", rows.count()).select("item", "rep", "copies"), "members")
+    reps = members.where("item = rep").select(F.col("item").alias("k"))
+    return members, staged(sets.join(reps, "k", "left_semi").select("k", F.size("runs").alias("n"), "runs"), "sets")
 
-    The number of shared rare runs, with what the other runs could add at most, bounds
-    the similarity; only pairs within the bound fetch their sets.
+
+def rep_pairs(sets: DataFrame, similarity: float = SIMILARITY, per_task: int = 1_000) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of different sets (k, n, runs) that are similar enough.
+
+    With the runs of every set in one order, rarest first, two such sets share a run among
+    the first n - ceil(similarity * n) + 1 of each.  Runs of one set come first and meet
+    nothing, so most sets offer few runs or none.  What may still be shared after the place
+    of a met run bounds the similarity; only pairs within the bound fetch their sets.
     """
-    sets = staged(run_sets(df, key, text, size), "sets")
-    runs = sets.select("k", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    least = similarity - 1e-9
+    runs = sets.select("k", "n", F.explode("runs").alias("run"))
     dfs = staged(runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dfs")
     total = dfs.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    calm = runs
-    if total > hot_limit(total):  # runs in a large share of all records (footers) are not even shuffled
-        hot = dfs.where(F.col("df") > F.greatest(F.lit(hot_limit(total)), F.lit(max_df))).select("run")
-        calm = runs.join(F.broadcast(hot), "run", "left_anti")
-    held = staged(calm.join(dfs.where(F.col("df") <= max_df).select("run"), "run"), "held")
-    counts = held.groupBy("k").agg(F.count(F.lit(1)).alias("r"))
-    side = lambda x: held.select("run", F.col("k").alias(x), F.col("n").alias(f"n{x}"))
-    alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
-    shared = (
-        side("a").join(side("b"), "run").where("a < b").where(alike).groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    )
-    rest = lambda x: counts.select(F.col("k").alias(x), F.col("r").alias(f"r{x}"))
-    most = F.col("s") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
-    able = shared.join(rest("a"), "a").join(rest("b"), "b").where(most >= F.lit(similarity - 1e-9) * (F.col("na") + F.col("nb") - most))
-    full = able.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("runs").alias("ra")), "a").join(
-        sets.select(F.col("k").alias("b"), F.col("runs").alias("rb")), "b"
-    )
-    scored = full.select("a", "b", tx.jaccard(F.col("ra"), F.col("rb")).alias("similarity"))
+    shared = join_unique(runs, dfs, "run", "df", total).groupBy("k", "n").agg(F.count(F.lit(1)).alias("r"))  # hot runs (footers) are not shuffled
+    open_ = staged(shared.where(F.col("r") >= F.ceil(F.lit(least) * F.col("n"))).select("k", "r"), "open")  # others have no run to offer
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "run"))
+    placed = runs.join(open_, "k").join(dfs, "run").withColumn("place", F.col("n") - F.col("r") + rank)
+    first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    first = staged(first.select("run", F.struct("k", "n", "place").alias("x")), "first")
+    counts = first.groupBy("run").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hot = counts.where(F.col("c") > hot_limit(first.count(), HOT_PAIRED)).select("run", F.ceil(F.col("c") / per_task).cast("int").alias("blocks"))
+    tagged = first.join(F.broadcast(hot), "run", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # fewer than HOT_SHARE runs
+    left = tagged.select("run", F.pmod(F.xxhash64("x"), "blocks").cast("int").alias("block"), F.col("x").alias("a"))
+    right = tagged.select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("b"))
+    na, nb = F.col("a.n"), F.col("b.n")
+    most = 1 + F.least(na - F.col("a.place"), nb - F.col("b.place"))  # true of the first run that two sets share
+    able = left.join(right, ["run", "block"]).where("a.k < b.k").where(F.least(na, nb) >= least * F.greatest(na, nb))
+    able = staged(able.where(most >= least * (na + nb - most)).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct(), "able")
+    side = lambda x: sets.select(F.col("k").alias(x), F.col("runs").alias(f"r{x}"))
+    scored = able.join(side("a"), "a").join(side("b"), "b").select("a", "b", tx.jaccard(F.col("ra"), F.col("rb")).alias("similarity"))
     return staged(scored, "scored").where(F.col("similarity") >= similarity)
 
 
-def families(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY, max_df: int = MAX_DF) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of records whose run sets are similar enough, equal ones too."""
+    members, sets = run_classes(df, key, text, size)
+    return class_pairs(members, rep_pairs(sets, similarity))
+
+
+def families(df: DataFrame, key: str, text: Column, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(key, family, family_size): records tied by equal content or near pairs; root = least key."""
     body = tx.squash(text)
     hashed = staged(df.select(F.col(key).alias("k"), F.nullif(tx.content_hash(body), F.lit("")).alias("h")), "hashed")
     firsts = hashed.where("h is not null").groupBy("h").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     exact = join_unique(hashed, firsts, "h", "n", hashed.count()).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
-    ties = exact.unionByName(near_pairs(df, key, text, size, similarity, max_df).select("a", "b"))
+    members, sets = run_classes(df, key, text, size)  # a class is tied by its rep: its pairs are not listed
+    same = members.where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
+    ties = exact.unionByName(same).unionByName(rep_pairs(sets, similarity).select("a", "b"))
     comps = connected_components(staged(ties, "ties"), "a", "b")
     named = df.select(F.col(key).alias("k")).distinct().join(comps.withColumnRenamed("node", "k"), "k", "left")
     named = staged(named.select(F.col("k").alias(key), F.coalesce("component", "k").alias("family")), "families")

@@ -58,6 +58,28 @@ def self_pairs(members: DataFrame, key: str, item: str, total: int, per_task: in
     return left.join(right, [key, "__block"]).where("a < b").select("a", "b").distinct()
 
 
+def class_pairs(members: DataFrame, pairs: DataFrame, per_task: int = 1_000) -> DataFrame:
+    """(a, b, similarity), a < b, of all items of classes: within a class (1.0) and across two paired ones.
+
+    ``members``: (item, rep, copies), one row per item; ``pairs``: (a, b, similarity) of
+    reps of different classes, each pair once.  Nothing is left out: a large class is cut
+    into blocks and each block meets each other one in a task of its own.
+    """
+    blocks = F.ceil(F.col("copies") / per_task).cast("int")
+    cut = members.select("item", "rep", "copies", blocks.alias("__n"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("__block"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = cut.where("copies > 1")
+    within = held.select("rep", F.col("item").alias("a"), "__block").join(
+        held.select("rep", F.col("item").alias("b"), each("__n").alias("__block")), ["rep", "__block"]
+    ).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    side = lambda x: cut.select(F.col("rep").alias(x), F.col("__block").alias(f"__{x}"), F.col("item").alias(f"__i{x}"))
+    sizes = lambda x: cut.where("item = rep").select(F.col("rep").alias(x), F.col("__n").alias(f"__n{x}"))
+    across = pairs.join(sizes("a"), "a").join(sizes("b"), "b")
+    across = across.withColumn("__a", each("__na")).withColumn("__b", each("__nb"))
+    across = across.join(side("a"), ["a", "__a"]).join(side("b"), ["b", "__b"])
+    return within.unionByName(across.select(F.least("__ia", "__ib").alias("a"), F.greatest("__ia", "__ib").alias("b"), "similarity"))
+
+
 def dense_rank_rows(df: DataFrame, group: str, order: Column, out: str, buckets: int) -> DataFrame:
     """0-based rank of each row within ``group`` without collecting a group in one task.
 
