@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.operators.components import connected_components
-from caseloom.plans.skew import join_unique, self_pairs
+from caseloom.plans.skew import class_pairs, join_unique, self_pairs
 from caseloom.plans.staging import staged
 
 HASHES, ROWS = 256, 4
@@ -38,6 +38,7 @@ SLACK = 0.25
 #: Copies of one class are listed pairwise up to this class size; larger classes are
 #: listed as (representative, copy), which says the same.  Pairs of different classes
 #: likewise go through the members of small classes and the representative of large ones.
+#: This is for ``near_duplicate_pairs`` only; ``all_near_duplicate_pairs`` lists every pair.
 PAIRWISE_UP_TO = 64
 #: Keys of 8 bytes that may be broadcast; more are joined by shuffle.
 CHECKED = 500_000
@@ -199,7 +200,7 @@ class NearDuplicates:
         return join_unique(rows, sizes, "cls", "copies", max(1, rows.count())).select("id", "rep", "copies")
 
     def id_pairs(self) -> DataFrame:
-        """(a, b), a < b, of ids: pairs of classes and of the copies within a class."""
+        """(a, b), a < b, of ids: pairs of classes and of the copies within a class, large classes in short."""
         m = self.members
         open_ = m.where((F.col("copies") <= PAIRWISE_UP_TO) | F.expr("id = rep")).select("id", "rep")
         x = open_.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
@@ -211,6 +212,10 @@ class NearDuplicates:
         stars = m.where(f"copies > {PAIRWISE_UP_TO} and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
         return across.unionByName(copies).unionByName(stars)
 
+    def all_pairs(self) -> DataFrame:
+        """(a, b), a < b, of ids: every pair, however large the classes are."""
+        return class_pairs(self.members.withColumnRenamed("id", "item"), self.pairs).select("a", "b")
+
     def groups(self) -> DataFrame:
         """One row per id: class (rep), family (least id of the component), links, group ids.
 
@@ -235,5 +240,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, size: int =
     return NearDuplicates(df, id_col, text_col, size, min_words, threshold).id_pairs()
 
 
+def all_near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    return NearDuplicates(df, id_col, text_col, size, min_words, threshold).all_pairs()
+
+
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
     return NearDuplicates(df, id_col, text_col, size, min_words, threshold).groups()

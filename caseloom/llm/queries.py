@@ -19,7 +19,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of text parts whose word runs agree to 0.6 or more."""
-    pairs = nd.near_duplicate_pairs(_t(spark, d, "text_parts"), "part_key", "text", 3, 12, 0.6)
+    pairs = nd.all_near_duplicate_pairs(_t(spark, d, "text_parts"), "part_key", "text", 3, 12, 0.6)
     return pairs.select(F.col("a").alias("part_a"), F.col("b").alias("part_b"))
 
 
