@@ -503,7 +503,7 @@ def found_kinds(rows: DataFrame, model: tuple[Names, dict[str, float]]) -> DataF
 
     ``place`` is "text" for free text; anything else is an address list's entry.
     """
-    some = rows.where("text is not null and (place <> 'text' and text rlike '[^\\\\x21-\\\\x7E]|[()]|[0-9]{7}' or place = 'text')")
+    some = rows.where("text is not null")
     return _mapped(some, model, "kind").distinct()
 
 
