@@ -15,7 +15,7 @@ CLEAN = [
 
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_text_is_left_alone(text):
-    assert mr.restore(text) == (text, False, "")
+    assert mr.restore(text) == (text, False, "", False)
 
 
 @pytest.mark.parametrize("read_as", ["cp1252", "latin-1", "mac-roman", "cp437", "cp850"])
@@ -42,7 +42,7 @@ def test_double_reading_and_references():
     twice = t.encode().decode("cp1252", "caseloom-c1").encode().decode("cp1252", "caseloom-c1")
     assert mr.restore(twice)[:2] == (t, True)
     assert mr.restore("La cl&Atilde;&copy; du ch&Atilde;&cent;teau")[:2] == ("La clé du château", True)
-    assert mr.restore("Die �berf�llige Rechnung")[1] and mr.restore(None) == (None, False, "") and mr.restore("") == ("", False, "")
+    assert mr.restore("Die �berf�llige Rechnung")[1] and mr.restore(None) == (None, False, "", False) and mr.restore("") == ("", False, "", False)
 
 
 def test_misread_table(spark):
