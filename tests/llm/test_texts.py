@@ -116,21 +116,35 @@ def test_masking(model):
     assert pi.mask("+33639980180@sms.example", *model, True) == "[PHONE]@sms.example"
 
 
-def test_decoding_is_exact(model):
-    """Dynamic programming equals the best of all sets of disjoint candidates."""
+def test_decoding_and_sums_are_exact(model):
+    """Dynamic programming equals the best of all sets of disjoint candidates, and the sums their total."""
     import itertools
-
-    names, w = model
-    text = "Ask Dr Oresa Caldquist, Talvin Hoxdahl tel +49 30 23125 045 or 666-89-0322 at 12 Alder Street"
-    spans = pi.candidates(text, names, frozenset(pi.KINDS))[:14]
-
-    def ok(c):
-        c = sorted(c)
-        return all(x[1] <= y[0] for x, y in zip(c, c[1:]))
-
-    best = max((sum(pi._score(s, w) for s in c) for r in range(len(spans) + 1) for c in itertools.combinations(spans, r) if ok(c)), default=0)
-    assert sum(pi._score(s, w) for s in pi.decode(spans, w)) == pytest.approx(best)
-    assert sum(pi._expected(spans[:1], w)) <= 1
+    import math
+
+    names, field = model
+    text = "Ask Dr Oresa Caldquist, +49 30 23125 045 or 666-89-0322 at 12 Alder Street"
+    spans = sorted(pi.candidates(text, names, frozenset(pi.KINDS)), key=field.score)[-11:]
+    spans.sort(key=lambda s: (s[1], s[0]))
+    joints = pi._joints(text, spans)
+
+    def value(c):
+        total = 0.0
+        for x, k in enumerate(c):
+            before = c[x - 1] if x else None
+            joined = before is not None and before in range(*joints[k])
+            total += field.score(spans[k]) + field.step(spans[before][2] if joined else "O", spans[k][2])
+        return total
+
+    sets = []
+    for r in range(len(spans) + 1):
+        for c in itertools.combinations(range(len(spans)), r):
+            if all(spans[x][1] <= spans[y][0] for x, y in zip(c, c[1:])):
+                sets.append((value(c), c))
+    assert [spans[k] for k in max(sets)[1]] == pi.decode(text, spans, field)
+    z = sum(math.exp(v) for v, _ in sets)
+    probs, _ = pi.marginals(text, spans, field)
+    for k, p in enumerate(probs):
+        assert p == pytest.approx(sum(math.exp(v) for v, c in sets if k in c) / z, abs=1e-9)
 
 
 def test_personal_tables(spark, model):
@@ -139,16 +153,49 @@ def test_personal_tables(spark, model):
     got = sorted(tuple(r) for r in pi.found_kinds(df, model).collect())
     assert got == [("text", 1, "phone"), ("text", 5, "email"), ("to", 4, "name")]
     assert pi.masked(df, model).count() == 7 and pi.found_kinds(df.limit(0), model).count() == 0
-    assert pi.learned(spark.createDataFrame([], "g string, f string"), "g", "f")[0].given == frozenset()
-
-
-def test_held_out_accuracy(spark):
-    """Names whose people were not in the fitted directory are found by their parts."""
-    heads, tails = ("Brock", "Cald", "Hox", "Lind", "Mar", "Nor"), ("dahl", "quist", "worth", "engard", "ovic", "esku")
-    givens = ("Talvin", "Oresa", "Lumira", "Jessomy", "Marvane", "Nimora")
-    people = [(g, h + t) for i, h in enumerate(heads) for j, (t, g) in enumerate(zip(tails, givens, strict=True)) if (i + j) % 2]
-    held = [(g, h + t) for i, h in enumerate(heads) for j, (t, g) in enumerate(zip(tails, givens, strict=True)) if not (i + j) % 2]
-    model = pi.learned(spark.createDataFrame(people, "g string, f string"), "g", "f")
-    hits = sum(any(s[2] == "name" for s in pi.find_entities(f"The folder was opened by {g} {f} at lunch.", *model)) for g, f in held)
-    assert hits / len(held) > 0.95
-    assert unicodedata.is_normalized("NFC", "é") and F is not None
+    assert pi.learned(spark.createDataFrame([], "g string, f string"), "g", "f")[0].given == set()
+
+
+def test_weights_start_at_zero():
+    assert pi.Field().score((0, 1, "name", ("b", "n=2"))) == 0 and not any(pi.Field().w.values())
+
+
+def test_held_out_frames_cues_and_people():
+    """Frames, cue words and people that fitting never saw: precision and recall of every kind."""
+    from collections import Counter
+
+    from caseloom.llm import personal_training as pt
+
+    people = [("Talvin", "Brockdahl"), ("Oresa", "Caldquist"), ("Lumira", "Hoxworth")]
+    names = pi.Names(people)
+    field = pi.fit(names, people, pt.labelled(people, 11, pi.TRAINING, False))
+    hit, said, true = Counter(), Counter(), Counter()
+    for text, address, gold in pt.labelled([], 99, 1_200, True):
+        got = {s[:3] for s in pi.find_entities(text, names, field, address)}
+        for k in pi.KINDS:
+            g, t = {s for s in got if s[2] == k}, {s for s in gold if s[2] == k}
+            hit[k] += len(g & t)
+            said[k] += len(g)
+            true[k] += len(t)
+    for k in pi.KINDS:
+        floor = 0.8 if k == "national_id" else 0.9  # unseen cues beside unseen codes
+        assert hit[k] / said[k] >= floor and hit[k] / true[k] >= 0.85, (k, hit[k], said[k], true[k])
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("Please ask Sarah Johnson to come.", {"name"}), ("Regards,\nPriya Raghunathan", {"name"}), ("David O'Connor wrote on Monday:", {"name"}), ("Atentamente,\nMaría del Carmen García López", {"name"}), ("Mr. Robert Jones has left.", {"name"}), ("signed by Nguyen Van Minh", {"name"}),
+        ("Calle Mayor 5", {"street"}), ("Brunnengasse 18 ist hier", {"street"}), ("12 rue des Lilas", {"street"}), ("identity number 1234 5678 9012", {"national_id"}), ("a" * 90 + "@x.example", {"email"}), ("Tel. 0123456789 0987654321", {"phone"}),
+    ],
+)
+def test_unlisted_people_and_places(model, text, kinds):
+    assert {s[2] for s in pi.find_entities(text, *model)} == kinds
+
+
+def test_whole_directory_is_looked_up(spark):
+    """The bound of the rows for fitting is none of the look-up."""
+    people = [(f"Given{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", f"Fam{chr(97 + i // 676)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(pi.SAMPLE + 500)]
+    names, _ = pi.learned(spark.createDataFrame(people, "g string, f string"), "g", "f")
+    assert all(pi._plain(f) in names.family for _, f in people)
+    assert F is not None and unicodedata.is_normalized("NFC", "é")
