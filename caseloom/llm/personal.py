@@ -37,7 +37,7 @@ from caseloom.llm import personal_training as pt
 from caseloom.llm.bpe import slices
 
 #: Directory rows used for fitting; sentences made and passes over them.
-SAMPLE, TRAINING, PASSES = 1_000, 5_000, 4
+SAMPLE, TRAINING, PASSES = 1_000, 6_500, 4
 #: Distinct names of a directory that are sent to every task; more are refused, not dropped.
 LEXICON = 5_000_000
 #: Step and pull towards zero of the fitting.

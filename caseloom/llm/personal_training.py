@@ -87,6 +87,7 @@ _OTHER_FRAMES = ("{c} {x}", "{c} {x}.", "{c}: {x}", "{c} {x} is open.", "{c} {x}
 _NAME_FRAMES = (
     "{n} called this morning.", "I met {n} yesterday.", "Please ask {n} for the key.", "ask {n} about it.", "As told by {n}, all is done.", "With kind regards,\n{n}", "Best wishes,\n{n}\nHead of Sales", "Thanks,\n{n}", "Yours,<br>{n}</p>", "Dear {n},", "My name is {n}.", "this is {n} speaking", "Dr {n} will sign.", "Mr. {n} has left.", "Mrs {n} agreed.", "Ms. {n} said so.", "Prof. {n} wrote:",
     "{n} wrote on Monday:", "From: {n}", "signed by {n}", "the file of {n} was closed", "between {n} and the firm", "The door was opened by {n} at noon.", "{n} brings the papers.", "{n} and two others came.", "approved by {n}.", "On behalf of {n}", "cc {n}", "{n}, the auditor, wrote.", "{n} (sales)", "contact {n} for help", "for {n} only", "to {n}:",
+    "Ich heiße {n}.", "mein Name ist {n}", "Mein Name ist {n} und ich schreibe heute.", "My name is {n} and I write today.", "my name is {n}", "Mi nombre es {n}.", "Mon nom est {n}.", "Chamo-me {n}.", "Mi chiamo {n}.", "this is {n}.",
     "Je suis {n}.", "Je m’appelle {n}.", "Mme {n} est absente.", "M. {n} a appelé.", "Cordialement,\n{n}", "Voir {n} pour la clé.", "avec {n} hier", "{n} viendra demain.", "de la part de {n}", "Ich bin {n}.", "Mein Name ist {n}.", "Herr {n} kommt später.", "Frau {n} ist krank.", "Mit freundlichen Grüßen\n{n}", "Viele Grüße,\n{n}", "Wie mit {n} vereinbart, gilt das.", "{n} prüft das morgen.", "von {n} am Montag",
     "Soy {n}.", "Me llamo {n}.", "Sr. {n} no está.", "La Sra. {n} firmó.", "Saludos,\n{n}", "Atentamente,\n{n}", "con {n} ayer", "{n} llamó por la tarde.", "Pregunte por {n}.", "O meu nome é {n}.", "Cumprimentos,\n{n}", "com {n} ontem", "O Sr. {n} ligou.", "Cordiali saluti,\n{n}", "Sig. {n} ha chiamato.", "Меня зовут {n}.", "С уважением,\n{n}", "{n} позвонил вчера.", "{n}\n{phone}", "{n}\nTel. {phone}", "Regards,\n{n}\n{mail}",
 )
@@ -181,8 +182,8 @@ def _mail(r: random.Random, given: str, family: str) -> str:
     plain = lambda s: re.sub(r"[^a-z]", "", s.lower()) or "office"
     local = r.choice((f"{plain(given)}.{plain(family)}", f"{plain(family)}_{plain(given)}", f"{plain(given)[:1]}{plain(family)}", f"{plain(given)}{r.randint(1, 99)}", "info", "help-desk", f"{plain(given)}.{plain(family)}+news"))
     host = r.choice(("mail", "north-shop", "lake.office", "uni", "post")) + "." + r.choice(("example", "test", "invalid", "org", "com", "de"))
-    k = r.randrange(9)
-    if k == 0:
+    k = r.randrange(8)
+    if k in (0, 4):
         return f"{r.choice((local, local[:1]))} [at] {host.replace('.', ' [dot] ')}"
     if k == 1:
         return f"{local} AT {host.replace('.', ' DOT ')}"
@@ -293,7 +294,7 @@ def labelled(people: list[tuple[str, str]], seed: int, n: int, held: bool | None
     pick = lambda xs: [x for i, x in enumerate(xs) if held is None or (i % HELD == 2) == held]
     groups = (
         (6, lambda: (r.choice(pick(_NAME_FRAMES)), None, "")), (5, lambda: (r.choice(pick(_NO_NAME_FRAMES)), None, "")), (4, lambda: (r.choice(pick(_PHONE_FRAMES)), "phone", r.choice(pick(_PHONE_CUES)))),
-        (4, lambda: (r.choice(pick(_ID_FRAMES)), "national_id", r.choice(pick(_ID_CUES)))), (8, lambda: (r.choice(pick(_OTHER_FRAMES)), None, r.choice(pick(_OTHER_CUES)) if r.random() < 0.5 else _word(r))), (5, lambda: (r.choice(pick(_CODE_FRAMES)), None, "")), (3, lambda: (r.choice(pick(_STREET_FRAMES)), None, "")),
+        (5, lambda: (r.choice(pick(_ID_FRAMES)), "national_id", r.choice(pick(_ID_CUES)))), (9, lambda: (r.choice(pick(_OTHER_FRAMES)), None, r.choice(pick(_OTHER_CUES)) if r.random() < 0.5 else _word(r))), (5, lambda: (r.choice(pick(_CODE_FRAMES)), None, "")), (3, lambda: (r.choice(pick(_STREET_FRAMES)), None, "")),
         (2, lambda: (r.choice(pick(_NO_STREET_FRAMES)), None, "")), (4, lambda: (r.choice(pick(_MAIL_FRAMES)), None, "")), (1, lambda: (r.choice(pick(_NO_MAIL_FRAMES)), None, "")),
     )
     weights = [w for w, _ in groups]
