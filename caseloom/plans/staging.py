@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN = "caseloom.staging.dir"
 _WRITTEN: dict[str, set[str]] = {}
@@ -45,6 +46,13 @@ def staged(df: DataFrame, name: str = "stage", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_counting(df: DataFrame, condition, name: str = "stage") -> tuple[DataFrame, int]:
+    """The staged table and how many of its rows meet ``condition``, counted by the write itself."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count_if(condition).alias("n"), F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get["n"]
+
+
 def unstage(df: DataFrame) -> None:
     """Removes the files of a staged frame that nothing will read again."""
     spark = df.sparkSession
