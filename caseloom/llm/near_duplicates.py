@@ -29,17 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.bpe import slices
 from caseloom.operators.components import connected_components
 from caseloom.plans.skew import class_pairs, join_unique, self_pairs
 from caseloom.plans.staging import staged
 
 HASHES, ROWS = 256, 4
 SLACK = 0.25
-#: Copies of one class are listed pairwise up to this class size; larger classes are
-#: listed as (representative, copy), which says the same.  Pairs of different classes
-#: likewise go through the members of small classes and the representative of large ones.
-#: This is for ``near_duplicate_pairs`` only; ``all_near_duplicate_pairs`` lists every pair.
-PAIRWISE_UP_TO = 64
 #: Keys of 8 bytes that may be broadcast; more are joined by shuffle.
 CHECKED = 500_000
 WORD = re.compile(r"[^\W_]+")
@@ -115,8 +111,8 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int, min_words: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 2_000):
-                part = b.slice(at, 2_000)
+            for lo, hi in slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
                 sets = _shingles(part.column(1).to_pylist(), size, min_words, known)
                 keep = [i for i, s in enumerate(sets) if len(s)]
                 if not keep:
@@ -199,18 +195,13 @@ class NearDuplicates:
         sizes = rows.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         return join_unique(rows, sizes, "cls", "copies", max(1, rows.count())).select("id", "rep", "copies")
 
-    def id_pairs(self) -> DataFrame:
-        """(a, b), a < b, of ids: pairs of classes and of the copies within a class, large classes in short."""
-        m = self.members
-        open_ = m.where((F.col("copies") <= PAIRWISE_UP_TO) | F.expr("id = rep")).select("id", "rep")
-        x = open_.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
-        y = open_.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-        across = self.pairs.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-        small = m.where(f"copies > 1 and copies <= {PAIRWISE_UP_TO}").select("id", "rep")
-        copies = small.alias("x").join(small.alias("y"), F.expr("x.rep = y.rep and x.id < y.id"))
-        copies = copies.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        stars = m.where(f"copies > {PAIRWISE_UP_TO} and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        return across.unionByName(copies).unionByName(stars)
+    def links(self) -> DataFrame:
+        """(a, b, similarity), a < b: every pair of class representatives that reaches the threshold."""
+        return self.pairs
+
+    def classes(self) -> DataFrame:
+        """(id, rep, copies) of every text long enough, in classes of equal run sets."""
+        return self.members
 
     def all_pairs(self) -> DataFrame:
         """(a, b), a < b, of ids: every pair, however large the classes are."""
@@ -236,11 +227,17 @@ class NearDuplicates:
         )
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
-    return NearDuplicates(df, id_col, text_col, size, min_words, threshold).id_pairs()
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(a, b, similarity) of class representatives; ``near_duplicate_groups`` tells each id's class.
 
+    The same form at every class size: with the classes it says as much as all pairs of
+    ids, without their number.
+    """
+    return NearDuplicates(df, id_col, text_col, size, min_words, threshold).links()
 
-def all_near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, size: int = 5, min_words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(a, b), a < b, of ids: every pair, however large the classes are."""
     return NearDuplicates(df, id_col, text_col, size, min_words, threshold).all_pairs()
 
 

@@ -19,7 +19,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of text parts whose word runs agree to 0.6 or more."""
-    pairs = nd.all_near_duplicate_pairs(_t(spark, d, "text_parts"), "part_key", "text", 3, 12, 0.6)
+    pairs = nd.near_duplicate_pairs(_t(spark, d, "text_parts"), "part_key", "text", 3, 12, 0.6)
     return pairs.select(F.col("a").alias("part_a"), F.col("b").alias("part_b"))
 
 
@@ -29,6 +29,11 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumnRenamed("id", "part_key")
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives; with the classes of p1_groups they say as much as all pairs."""
+    return nd.near_duplicate_links(_t(spark, d, "text_parts"), "part_key", "text", 3, 12, 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     """The same over documents, on runs of five words and a similarity of 0.8."""
     return nd.near_duplicate_groups(_t(spark, d, "documents"), "doc_id", "text", 5, 5, 0.8).withColumnRenamed("id", "doc_id")
@@ -54,6 +59,19 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return ts.assign_splits(tied, "key", ["train", "validation", "test"], [0.70, 0.15, 0.15]).withColumnRenamed("key", "case_no")
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the splits keep: one row a record, no tied value in two splits, shares near the ones asked for."""
+    cases = _t(spark, d, "rag_source_cases")
+    got = p2_splits(spark, d)
+    values = F.explode(F.array_compact(F.array(*_case_values())))
+    held = cases.select("case_no", values.alias("v")).join(got, "case_no").groupBy("v").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    apart = held.agg(F.count_if(F.col("lo") != F.col("hi")).alias("values_apart"), F.count(F.lit(1)).alias("group_values"))
+    n = F.count(F.lit(1))
+    near = lambda name, want: (F.abs(F.count_if(F.col("split") == name) / n - want) < 0.05).alias(f"{name}_near")
+    rows = got.agg(n.alias("records"), F.countDistinct("case_no").alias("distinct_records"), near("train", 0.70), near("validation", 0.15), near("test", 0.15))
+    return rows.crossJoin(apart)  # one row each
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Text parts with characters that were read in a wrong charset."""
     return misread.affected(_t(spark, d, "text_parts"), "part_key", "text").select(F.col("id").alias("part_key"))

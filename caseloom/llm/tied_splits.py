@@ -9,8 +9,11 @@ a third of all rows is one node whose distinct ties alone are walked.
 * A wave seeds a share of the unreached nodes and expands all seeds at once, one round
   per step: a reached node takes the least label offered, a node offered different
   labels (or reached again under another) adds an edge between those labels.
-* Two waves (a quarter of the nodes, then all that are left) reach every node.
-* The label graph, small beside the record graph, is merged by star components.
+* Two waves (a sixteenth of the nodes, then all that are left, which lie in components
+  without a seed) reach every node.
+* The label graph has only seeds for nodes: n/16 of the first wave, and of the second
+  those of components that the first wave did not touch.  It is merged
+  by star components.
 
 Splits: components are ordered by hash and cut by cumulative record count.  Components
 of more than ``LARGE`` of all records (fewer than 1/LARGE of them) are placed first,
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.components import connected_components
 from caseloom.plans.skew import hot_limit, join_unique
-from caseloom.plans.staging import staged
+from caseloom.plans.staging import staged, staged_counting
 
-SEED_SHARES = (4, 1)
+#: One in so many of the unreached nodes seeds a wave; only seeds are nodes of the label graph.
+SEED_SHARES = (16, 1)
 LARGE = 0.01
 #: Neighbours of a node kept in one adjacency list; more are spread over salts.
 LIST_SIZE = 10_000
@@ -73,9 +77,9 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
     for share in SEED_SHARES:
         left = nodes if reached is None else nodes.join(reached, "node", "left_anti")
         seeds = left.where(F.pmod(F.xxhash64("node", F.lit(share)), F.lit(share)) == 0)
-        front = staged(seeds.select("node", F.col("node").alias("label"), "salts"), "front")
+        front, fresh = staged_counting(seeds.select("node", F.col("node").alias("label"), "salts"), F.lit(True), "front")
         wave: list[DataFrame] = []
-        while front.limit(1).count():
+        while fresh:
             grown = front.select("node", "label") if reached is None else reached.unionByName(front.select("node", "label"))
             asked = front.select("node", "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
             offers = staged(
@@ -83,7 +87,7 @@ def frontier_components(ties: DataFrame, a: str, b: str) -> DataFrame:
             )
             lows = offers.groupBy("node").agg(F.min("label").alias("low"), F.count(F.lit(1)).alias("n"))
             met = lows.join(grown.withColumnRenamed("label", "had"), "node", "left").join(nodes, "node")
-            met = staged(met.withColumn("x", F.coalesce("had", "low")), "met")
+            met, fresh = staged_counting(met.withColumn("x", F.coalesce("had", "low")), F.col("had").isNull(), "met")
             made = join_unique(offers, met.select("node", "x", "n"), "node", "n", total)
             wave.append(made.select("x", F.col("label").alias("y")).where("x <> y"))
             reached = grown

@@ -60,12 +60,24 @@ def test_groups_are_the_components(spark, rows):
     assert re.fullmatch("dup:[0-9a-f]{16}", got[901]["duplicate_group"])
 
 
-def test_large_classes_are_stars(spark):
-    n = nd.PAIRWISE_UP_TO + 10
+@pytest.mark.parametrize("n", [65, 1_000, 10_000])
+def test_classes_and_links_say_the_same_at_every_size(spark, n):
     text = " ".join(f"w{i}" for i in range(30))
-    df = spark.createDataFrame([(i, text) for i in range(n)] + [(n, text + " end")], "id long, text string")
-    got = {(r["a"], r["b"]) for r in nd.near_duplicate_pairs(df, "id", "text", 3, 12, 0.6).collect()}
-    assert got == {(0, i) for i in range(1, n + 1)}
+    df = spark.range(n).selectExpr("id", f"'{text}' AS text").union(spark.createDataFrame([(n, text + " end")], "id long, text string"))
+    assert [(r["a"], r["b"]) for r in nd.near_duplicate_links(df, "id", "text", 3, 12, 0.6).collect()] == [(0, n)]
+    groups = nd.near_duplicate_groups(df, "id", "text", 3, 12, 0.6)
+    got = groups.groupBy("class_id", "family_id", "n_links").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 1, n), (n, 0, 1, 1)]
+    if n <= 1_000:  # all pairs, of copies and across
+        assert nd.near_duplicate_pairs(df, "id", "text", 3, 12, 0.6).distinct().count() == n * (n + 1) // 2
+
+
+def test_documents_recall(spark, data):
+    """Five words, 0.8: the pairs that banding gives are those of brute force."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = {(r["a"], r["b"]) for r in nd.near_duplicate_pairs(docs, "doc_id", "text", 5, 5, 0.8).collect()}
+    want = brute([tuple(r) for r in docs.collect()], 5, 5, 0.8)
+    assert got == want and want
 
 
 def test_empty_tables(spark):
