@@ -52,7 +52,11 @@ class ByteBpe:
     """A vocabulary and the words it has been asked for."""
 
     def __init__(self, path: str):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        before = file.get("pre_tokenizer") or {}
+        if file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+            raise ValueError(f"{path}: only byte-level vocabularies without a normalizer or a blank put before the text are encoded here")
+        model = file["model"]
         vocab = model["vocab"]
         letters = _byte_letters()
         self.byte_id = np.zeros(256, np.int64)

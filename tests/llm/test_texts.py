@@ -65,6 +65,19 @@ def test_skeleton(a, b, same):
     assert (lk.skeleton(a) == lk.skeleton(b)) is same
 
 
+@pytest.mark.parametrize(
+    "odd,plain",
+    [("ᎪᏴᏟꭰ"[:3], "ABC"), ("ꓐꓑꓓꓔꓖꓗ", "BPDTGK"), ("ⲟⲣⲥ", "opc"), ("𝖺𝗯𝒸𝓭", "abcd"), ("a–b−c", "a-b-c"), ("don’t", "don't"), ("a⁄b∕c", "a/b/c"), ("ꭵꮃꮩꮓ", "iwvz"), ("ʏᴏᴜ", "you")],
+)
+def test_skeletons_of_rarer_scripts(odd, plain):
+    assert lk.skeleton(odd) == plain
+
+
+def test_readable_form():
+    assert lk.readable("Сегодня и ｈｏｔ") == "Сегодня и hot" and lk.readable("sеcure lo​gin") == "secure login"
+    assert lk.shown_hostname("a。b｡example") == "a.b.example"
+
+
 def test_hostnames():
     shown = "sеcure.example"
     label = "xn--" + shown.split(".")[0].encode("punycode").decode()

@@ -132,3 +132,11 @@ def test_pieces(spark):
     assert pieces.split_texts(df.limit(0), "k", "text").count() == 0
     with pytest.raises(ValueError):
         pieces.split_texts(df, "k", "text", 64, 64)
+
+
+def test_other_kinds_of_vocabularies_are_refused():
+    import pytest
+    from caseloom.llm import bpe
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.ByteBpe("/opt/tokenizers/word_bpe_49k.json")
