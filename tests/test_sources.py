@@ -21,8 +21,9 @@ def test_message():
     m = mime.parse_message(RAW)
     assert m["failure"] is None and m["subject"] == "É" and m["from_addresses"] == ["a@a.test"] and m["to_addresses"] == ["b@b.test", "c@c.test"]
     assert [p["text"].strip() for p in m["parts"]][0] == "café" and "[embedded-image:" in m["parts"][1]["text"] and m["parts"][2]["defects"]
-    assert [(a["filename"], a["size"], a["embedded"]) for a in m["attachments"]] == [(None, 8, True), ("f.pdf", 5, False)]
-    assert m["attachments"][1]["sha256"].startswith("2cf24dba")
+    assert [(a["part_id"], a["filename"], a["size"]) for a in m["attachments"]] == [("part_0004", "f.pdf", 5)]
+    assert [(i["part_id"], i["size"], i["embedded"]) for i in m["images"]] == [("part_0003_img_01", 8, True)]
+    assert m["attachments"][0]["sha256"].startswith("2cf24dba") and [p["part_id"] for p in m["parts"]] == ["part_0002", "part_0003", "part_0005"]
     assert [(a["mechanism"], a["result"], a["identity"]) for a in m["authentication"]] == [("spf", "pass", "a.test"), ("dkim", "fail", "b.test")]
     assert m["transport_ips"] == ["203.0.113.9"]
 
@@ -33,13 +34,51 @@ def test_broken_messages_are_rows(raw, failure):
 
 
 def test_bounds():
-    parts = "".join("--x\r\nContent-Type: application/pdf\r\n\r\nq\r\n" for _ in range(30))
+    parts = "".join("--x\r\nContent-Type: application/pdf; name=f.pdf\r\n\r\nq\r\n" for _ in range(30))
     m = mime.parse_message(f'From: a@b.c\r\nContent-Type: multipart/mixed; boundary="x"\r\n\r\n{parts}--x--'.encode())
     assert len(m["attachments"]) == 20 and m["content_limits"] == ["attachments"]
-    bad = mime.parse_message(b"From: a@b.c\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\n!!!")
+    bad = mime.parse_message(b"From: a@b.c\r\nContent-Type: application/pdf; name=f.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\n!!!")
     assert bad["attachments"][0]["sha256"] is None
 
 
+def _mail(body: str, kind: str) -> dict:
+    return mime.parse_message(f"From: a@b.c\r\nMIME-Version: 1.0\r\nContent-Type: {kind}\r\n\r\n{body}".encode())
+
+
+def test_containers_are_numbered_too():
+    inner = '--y\r\nContent-Type: text/plain\r\n\r\na\r\n--y\r\nContent-Type: text/html\r\n\r\n<p>b\r\n--y--\r\n'
+    m = _mail(f'--x\r\nContent-Type: multipart/alternative; boundary="y"\r\n\r\n{inner}--x--', 'multipart/mixed; boundary="x"')
+    assert [p["part_id"] for p in m["parts"]] == ["part_0003", "part_0004"]
+
+
+def test_depth_ends_the_walk():
+    body = "Content-Type: text/plain\r\n\r\ndeep\r\n"
+    for i in range(25):
+        body = f'Content-Type: multipart/mixed; boundary="b{i}"\r\n\r\n--b{i}\r\n{body}\r\n--b{i}--\r\n'
+    m = mime.parse_message(f'From: a@b.c\r\nContent-Type: multipart/mixed; boundary="t"\r\n\r\n--t\r\n{body}--t\r\nContent-Type: text/plain\r\n\r\nafter\r\n--t--'.encode())
+    assert m["content_limits"] == ["depth"] and m["parts"] == []
+
+
+def test_leaves():
+    parts = ("text/calendar", "x"), ("image/png", "x"), ("text/plain", "words"), ("message/rfc822", "From: z@z.z\r\n\r\ninner")
+    body = "".join(f"--x\r\nContent-Type: {k}\r\n\r\n{b}\r\n" for k, b in parts)
+    m = _mail(body + "--x--", 'multipart/mixed; boundary="x"')
+    assert m["attachments"] == [] and [i["part_id"] for i in m["images"]] == ["part_0003"] and [p["part_id"] for p in m["parts"]] == ["part_0004", "part_0006"]
+    assert "part_0002: unread leaf text/calendar" in m["defects"] and "part_0005: embedded message" in m["defects"]
+
+
+@pytest.mark.parametrize(
+    "value,want",
+    [
+        ("mx; dkim=pass smtp.mailfrom=evil.example", [("dkim", "pass", None)]), ("mx; dkim=pass header.i=@a.test header.d=B.test", [("dkim", "pass", "b.test")]),
+        ("mx; spf=pass smtp.helo=h.test smtp.mailfrom=<@m.test>; dmarc=fail header.from=f.test", [("spf", "pass", "m.test"), ("dmarc", "fail", "f.test")]),
+        ("mx; (spf=fail smtp.mailfrom=x) none", []), ("spf=neutral", [("spf", "neutral", None)]),
+    ],
+)
+def test_identity_belongs_to_its_mechanism(value, want):
+    assert [(a["mechanism"], a["result"], a["identity"]) for a in mime.authentication_results(0, value)] == want
+
+
 def test_nested_comments():
     assert mime.without_comments('a (b (c) d) e "(kept)"') == 'a  e "(kept)"'
 
