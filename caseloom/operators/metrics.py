@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.plans.staging import staged
+
 #: The labels, in the order that breaks ties.
 LABELS = ("spear_phishing", "phishing", "fraude", "menace", "spam", "legitime")
 MALICIOUS = LABELS[:4]
@@ -90,26 +92,55 @@ def paired(df: DataFrame, truth: str, before: str, after: str) -> DataFrame:
     )
 
 
-def stats(value: Column, where: Column | None = None) -> list[Column]:
-    """n, mean, median, greatest and total of the finite values >= 0; nulls for none."""
-    ok = value.isNotNull() & ~F.isnan(value) & (value >= 0) & (F.abs(value) != float("inf"))
-    v = F.when(ok & where if where is not None else ok, value)
-    return [
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"),
-        F.max(v).alias("max"), F.round(F.sum(v), 4).alias("total"),
-    ]
+def usable(value: Column) -> Column:
+    """Finite values from 0 on; null for all others."""
+    return F.when(value.isNotNull() & ~F.isnan(value) & (value >= 0) & (F.abs(value) != float("inf")), value)
 
 
-def nearest_rank(df: DataFrame, groups: list[str], value: str, share: float, out: str) -> DataFrame:
-    """Per group the value at rank ceil(share * n) of the sorted values.
+def stats(value: Column) -> list[Column]:
+    """n, mean, greatest and total of the usable values; nulls for none.  Medians: ``medians``."""
+    v = usable(value)
+    return [F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"), F.round(F.sum(v), 4).alias("total")]
+
 
-    Values are counted first, so a task sorts distinct values and not rows.
+def ranked_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n, upto, total): rows of a value, rows up to it in order, rows of the group.
+
+    No group is sorted in one task: values are counted, cut into ranges by value, and
+    ranks are taken within a range; the counts of the ranges (groups x ranges rows) give
+    the offsets.  The ranges are written once, so that both readings see the same ones.
     """
-    counts = df.where(F.col(value).isNotNull() & (F.col(value) >= 0)).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+    v = usable(F.col(value).cast("double"))
+    counts = df.select(*groups, v.alias("__v")).where("__v is not null").groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("n"))
+    spans = staged(counts.repartitionByRange(*groups, "__v").withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = spans.groupBy(*groups, "__range").agg(F.sum("n").alias("__s"))
     w = Window.partitionBy(*groups)
-    run = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    at = counts.withColumn("__c", run).withColumn("__t", F.sum("__n").over(w)).where(F.col("__c") >= F.ceil(F.col("__t") * share))
-    return at.groupBy(*groups).agg(F.min(value).alias(out))
+    before = F.coalesce(F.sum("__s").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*(F.col(g).alias(f"__{g}") for g in groups), F.col("__range").alias("__r"), before.alias("__before"), F.sum("__s").over(w).alias("total"))
+    same = F.col("__range") == F.col("__r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    run = F.sum("n").over(Window.partitionBy(*groups, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = spans.withColumn("__c", run).join(offsets, same)
+    return ranked.select(*groups, F.col("__v").alias(value), "n", (F.col("__c") + F.col("__before")).alias("upto"), "total")
+
+
+def at_rank(rank: Column) -> Column:
+    """Whether the value of a ranked row is the one at ``rank`` (from 1)."""
+    return (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+
+
+def nearest_rank(df: DataFrame, groups: list[str], value: str, share: float, out: str) -> DataFrame:
+    """Per group the value at rank ceil(share * n) of the sorted usable values."""
+    at = ranked_values(df, groups, value).where(at_rank(F.ceil(F.col("total") * share)))
+    return at.select(*groups, F.col(value).alias(out))
+
+
+def medians(df: DataFrame, groups: list[str], value: str, out: str = "median") -> DataFrame:
+    """Per group the middle of the sorted usable values, or the mean of the two in the middle."""
+    low, high = F.ceil(F.col("total") / 2), F.floor(F.col("total") / 2) + 1
+    mid = ranked_values(df, groups, value).where(at_rank(low) | at_rank(high))
+    return mid.groupBy(*groups).agg(F.round((F.min(value) + F.max(value)) / 2, 6).alias(out))
 
 
 def tool_coverage(results: DataFrame, tool: str, status: str, reason: str, requests: str) -> DataFrame:
@@ -151,3 +182,94 @@ def vector_ok(probabilities: list[str]) -> Column:
     for e, p in zip(each[1:], ps[1:], strict=True):
         ok, total = ok & e, total + p
     return F.coalesce(ok & (F.abs(total - 1) <= 1e-6), F.lit(False))
+
+
+# ---- costs, usage and phases ------------------------------------------------------
+def call_cost(input_tokens: Column, cached_tokens: Column, output_tokens: Column, reported: Column, prices: tuple[float, float, float]) -> tuple[Column, Column]:
+    """(cost, source) of one model call: what the provider reported, else tokens times prices a million.
+
+    Cached tokens are kept within 0 and the input's; a call with no known input or output
+    count has no cost (null, ``unknown``), which is never a cost of 0.
+    """
+    fresh, cached_price, out_price = prices
+    cached = F.least(F.greatest(F.coalesce(cached_tokens, F.lit(0)), F.lit(0)), input_tokens)
+    estimate = ((input_tokens - cached) * fresh + cached * cached_price + output_tokens * out_price) / 1_000_000
+    cost = F.coalesce(reported.cast("double"), estimate)
+    source = F.when(reported.isNotNull(), "provider_reported").when(estimate.isNotNull(), "estimated").otherwise("unknown")
+    return cost, source
+
+
+def run_costs(calls: DataFrame, run: str, cost: str, source: str) -> DataFrame:
+    """(run, calls, known, amount, status): a run is complete only if every call's cost is known."""
+    known, n = F.count(cost), F.count(F.lit(1))
+    reported = F.count_if(F.col(source) == "provider_reported")
+    status = F.when(known == 0, "unknown").when(known < n, "partial").when(reported == n, "provider_reported").otherwise("estimated")
+    return calls.groupBy(run).agg(n.alias("calls"), known.alias("known"), F.round(F.sum(cost), 8).alias("amount"), status.alias("status"))
+
+
+def cost_total(runs: DataFrame) -> DataFrame:
+    """Over runs: known amounts, their mean over runs with any, and the mean over all only if none is missing."""
+    n, known = F.count(F.lit(1)), F.count("amount")
+    whole = F.count_if(F.col("status").isin("unknown", "partial")) == 0
+    return runs.agg(
+        n.alias("runs"), known.alias("with_amount"), F.round(F.sum("amount"), 6).alias("amount"), F.round(F.avg("amount"), 8).alias("mean_known"),
+        F.round(F.when(whole, F.sum("amount") / n), 8).alias("mean_all"), F.when(known == 0, "unknown").when(whole, "complete").otherwise("partial").alias("status"),
+    )
+
+
+def phase_validity(calls: DataFrame, run: str, phase: str, order: str, valid: str, retry: str, error: str) -> DataFrame:
+    """Per phase: calls, retries, errors, and runs whose last call of the phase was valid."""
+    last = calls.groupBy(run, phase).agg(
+        F.max_by(valid, order).alias("ok"), F.count(F.lit(1)).alias("calls"), F.count_if(retry).alias("retries"), F.count_if(F.col(error).isNotNull()).alias("errors")
+    )
+    n = F.count(F.lit(1))
+    return last.groupBy(phase).agg(
+        n.alias("runs"), F.count_if("ok").alias("valid_runs"), ratio(F.count_if("ok"), n).alias("validity"), F.sum("calls").alias("calls"), F.sum("retries").alias("retries"), F.sum("errors").alias("errors"),
+    )
+
+
+def proposal_counts(records: DataFrame, key: str, proposed: str, invalid: str) -> DataFrame:
+    """Candidates proposed and refused (sizes of array columns), records with any, and the share refused (null for none)."""
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return records.select(key, size(proposed).alias("p"), size(invalid).alias("i")).agg(
+        F.sum("p").alias("proposals"), F.sum("i").alias("invalid"), F.count_if(F.col("p") > 0).alias("records_with_any"), ratio(F.sum("i"), F.sum("p")).alias("invalid_rate")
+    )
+
+
+def action_coverage(df: DataFrame, action: str, truth: str) -> DataFrame:
+    """(action, rows, share, one count a label, unlabelled): how often each action was taken, and on what."""
+    t = restricted(F.col(truth))
+    n = F.count(F.lit(1))
+    rows = df.groupBy(action).agg(n.alias("rows_n"), *(F.count_if(t == x).alias(f"on_{x}") for x in LABELS), F.count_if(t.isNull()).alias("unlabelled"))
+    total = df.agg(n.alias("__n"))
+    return rows.join(F.broadcast(total)).withColumn("share", ratio(F.col("rows_n"), F.col("__n"))).drop("__n")  # one row
+
+
+def usage_totals(records: DataFrame, groups: list[str], flags: list[str], amounts: list[str]) -> DataFrame:
+    """Roll-up of usage: rows, rows with each flag, sums of the known amounts and how many are unknown, with totals."""
+    return records.rollup(*groups).agg(
+        F.count(F.lit(1)).alias("rows_n"), *(F.count_if(F.col(f)).alias(f"with_{f}") for f in flags),
+        *(x for a in amounts for x in (F.sum(a).alias(f"sum_{a}"), F.count_if(F.col(a).isNull()).alias(f"unknown_{a}"))), F.grouping_id().alias("level"),
+    )
+
+
+def issue_counts(issues: DataFrame, code: str, severity: str, wanted: str) -> DataFrame:
+    """(code, n) of the issues of one severity, most frequent first where listed."""
+    return issues.where(F.col(severity) == wanted).groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+
+
+def variant_block(df: DataFrame, variant: str, valid: str, excluded: str, cost: str, latency: str) -> DataFrame:
+    """Per variant: rows, valid rows that are not excluded, and means of cost and latency over those only."""
+    use = F.col(valid) & ~F.coalesce(F.col(excluded), F.lit(False))
+    mean = lambda c: F.round(F.avg(F.when(use, F.col(c))), 6)
+    return df.groupBy(variant).agg(
+        F.count(F.lit(1)).alias("rows_n"), F.count_if(use).alias("used"), F.count_if(F.coalesce(F.col(excluded), F.lit(False))).alias("excluded_n"), mean(cost).alias("mean_cost"), mean(latency).alias("mean_latency"),
+    )
+
+
+def limitations(facts: DataFrame) -> DataFrame:
+    """(no, limitation): what the numbers of one row of facts do not allow to say, in a fixed order."""
+    wanted = (("supported", F.col("supported") < len(LABELS), "labels without support"), ("unknown_cost", F.col("unknown_cost") > 0, "costs of some runs are unknown"),
+              ("abstained", F.col("abstained") > 0, "some records were not judged"), ("synthetic", F.col("synthetic") > 0, "some records are synthetic"))
+    said = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(i).alias("no"), F.lit(text).alias("limitation"))) for i, (_, c, text) in enumerate(wanted))))
+    return facts.select(F.explode(said).alias("x")).select("x.*")

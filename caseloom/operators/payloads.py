@@ -6,6 +6,11 @@ one row with the status ``unavailable`` and no evidence.
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 ENGINE_COUNTS = ("malicious", "suspicious", "harmless", "undetected", "timeout")
 #: What "not found" means differs by kind of source.
 NOT_FOUND = {"reputation": "not_found", "sandbox": "pending", "graph": "api_error", "registration": "not_found"}
+#: The record types that are reported.
 DNS_TYPES = ("A", "AAAA", "MX", "NS", "TXT")
 
 
@@ -131,49 +137,55 @@ def usage(body: Column) -> Column:
     )
 
 
-def dom_facts_schema() -> str:
-    return "title string, visible_text string, form_fields array<string>"
-
-
-def dom_facts(df: DataFrame, key: str, html: str, limit: int = 4_000) -> DataFrame:
-    """(key, title, visible_text, form_fields) of HTML read as inert data; scripts and styles are not text."""
-    from collections.abc import Iterator
-    from html.parser import HTMLParser
-
-    import pyarrow as pa
+#: Elements whose content is not shown as text, and those whose content is no markup.
+_UNSHOWN = ("script", "style", "noscript", "template", "svg")
+_RAW = ("script", "style", "title", "textarea")
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
-    hidden = {"script", "style", "noscript", "template", "svg"}
 
-    class Collector(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.depth, self.in_title = 0, False
-            self.title, self.text, self.fields = [], [], []
+def inert_html(markup: str) -> tuple[str, str, list[str]]:
+    """(title, shown text, form fields as type:name) of HTML that is read and never run.
 
-        def handle_starttag(self, tag, attrs):
-            self.depth += tag in hidden
-            self.in_title = self.in_title or tag == "title"
-            if tag in ("input", "select", "textarea") and len(self.fields) < 50:
-                a = dict(attrs)
-                self.fields.append(f"{a.get('type') or tag}:{a.get('name') or ''}")
-
-        def handle_endtag(self, tag):
-            self.depth -= tag in hidden and self.depth > 0
-            self.in_title = self.in_title and tag != "title"
-
-        def handle_data(self, data):
-            if not self.depth:
-                (self.title if self.in_title else self.text).append(data)
+    One pass over the tags: the content of raw elements is skipped to its end tag, text
+    within unshown elements is dropped, everything else is text.
+    """
+    title, shown, fields = [], [], []
+    at, inside = 0, []  # inside: unshown elements that are open
+    while m := _MARKUP.search(markup, at):
+        if not inside:
+            shown.append(markup[at : m.start()])
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if not name:
+            continue
+        if m["end"]:
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+            continue
+        if name in ("input", "select", "textarea"):
+            said = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(m["rest"]))}
+            fields.append(f"{html.unescape(said.get('type') or name)}:{html.unescape(said.get('name') or '')}")
+        if name in _RAW:
+            close = re.compile(rf"</{name}\b[^>]*>|\Z", re.I).search(markup, at)
+            if not inside:
+                (title if name == "title" else shown if name == "textarea" else []).append(markup[at : close.start()])
+            at = close.end()
+        elif name in _UNSHOWN and not m["rest"].rstrip().endswith("/"):
+            inside.append(name)
+    if not inside:
+        shown.append(markup[at:])
+    plain = lambda xs, sep: " ".join(html.unescape(sep.join(xs)).split())
+    return plain(title, ""), plain(shown, " "), fields
+
+
+def dom_facts(df: DataFrame, key: str, content: str, limit: int = 4_000, fields: int = 50) -> DataFrame:
+    """(key, title, visible_text, form_fields) of HTML as inert data; null reads as empty; bounded lengths are part of the record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                c = Collector()
-                c.feed(x or "")
-                c.close()
-                out.append((" ".join("".join(c.title).split())[:200], " ".join(" ".join(c.text).split())[:limit], c.fields))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.list_(pa.string()))], names=[key, "title", "visible_text", "form_fields"])
-
-    return df.select(key, html).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, {dom_facts_schema()}")
+            got = [inert_html(x or "") for x in b.column(1).to_pylist()]
+            cols = pa.array([t[:200] for t, _, _ in got], pa.string()), pa.array([x[:limit] for _, x, _ in got], pa.string()), pa.array([f[:fields] for _, _, f in got], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "title", "visible_text", "form_fields"])
+
+    return df.select(key, content).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, title string, visible_text string, form_fields array<string>")

@@ -82,7 +82,8 @@ Q["paired_buckets"] = (paired_buckets, "WITH " + _LAB + """, b AS (SELECT coales
 def latency_by_kind(s, d):
     e = t(s, d, "events")
     base = e.groupBy("event_type").agg(*metrics.stats(F.col("value")))
-    return base.join(metrics.nearest_rank(e, ["event_type"], "value", 0.95, "p95"), "event_type", "left")
+    middle = metrics.medians(e, ["event_type"], "value")
+    return base.join(middle, "event_type", "left").join(metrics.nearest_rank(e, ["event_type"], "value", 0.95, "p95"), "event_type", "left")
 
 
 Q["latency_by_kind"] = (latency_by_kind, """
@@ -94,7 +95,10 @@ def delay_by_tool(s, d):
     """Milliseconds from collection to archiving, by tool and over all."""
     r = t(s, d, "tool_results").select("result_id", "tool", "collected_at", "archived_at").distinct()
     ms = r.withColumn("ms", (F.unix_micros(F.col("archived_at").cast("timestamp")) - F.unix_micros(F.col("collected_at").cast("timestamp"))) / 1000.0)
-    return ms.groupingSets([[F.col("tool")], []], "tool").agg(*metrics.stats(F.col("ms")))
+    sides = ms.select("ms", F.explode(F.array(F.struct("tool", F.lit(0).alias("all")), F.struct(F.lit(None).cast("string").alias("tool"), F.lit(1).alias("all")))).alias("x")).select("ms", "x.*")
+    base = sides.groupBy("tool", "all").agg(*metrics.stats(F.col("ms")))
+    middle = metrics.medians(sides, ["tool", "all"], "ms").select(F.col("tool").alias("t"), F.col("all").alias("a"), "median")
+    return base.join(middle, F.col("tool").eqNullSafe(F.col("t")) & (F.col("all") == F.col("a")), "left").drop("t", "a", "all")
 
 
 Q["delay_by_tool"] = (delay_by_tool, """
@@ -304,10 +308,13 @@ Q["smoke_sample"] = (smoke_sample, "SELECT normalized_label, min(sample_id) AS s
 
 def seal_counts(s, d):
     m = t(s, d, "corpus_manifest").select("sample_id", "raw_sha256", "normalized_label").distinct()
-    return splits.seal(m, ["sample_id", "raw_sha256", "normalized_label"], "sample_id").select("rows", F.length("digest").cast("long").alias("digest_chars"))
+    return splits.seal(m, ["sample_id", "raw_sha256", "normalized_label"], "sample_id").select("rows", "digest")
 
 
-Q["seal_counts"] = (seal_counts, "SELECT count(*) AS rows, 64::BIGINT AS digest_chars FROM (SELECT DISTINCT sample_id, raw_sha256, normalized_label FROM corpus_manifest)")
+Q["seal_counts"] = (seal_counts, """
+  WITH r AS (SELECT sha256(to_json({sample_id: sample_id, raw_sha256: raw_sha256, normalized_label: normalized_label})::VARCHAR) AS h FROM (SELECT DISTINCT sample_id, raw_sha256, normalized_label FROM corpus_manifest)),
+  b AS (SELECT substr(h, 1, 3) AS b, count(*) AS n, sum(('0x' || substr(h, 4, 12))::BIGINT)::HUGEINT AS s FROM r GROUP BY 1), x AS (SELECT n, b || ':' || n || ':' || s AS x FROM b)
+  SELECT coalesce(sum(n), 0)::BIGINT AS rows, sha256(string_agg(x, ',' ORDER BY x)) AS digest FROM x""")
 
 
 def exact_dup_groups(s, d):
@@ -428,6 +435,132 @@ def dom_parts(s, d):
 Q["dom_parts"] = (dom_parts, None)
 
 
+_PRICES = (0.25, 0.05, 2.20)
+
+
+def _calls(s, d):
+    """Model calls made of order lines: tokens from quantities and prices, some counts missing, some costs reported."""
+    li = t(s, d, "lineitem")
+    i, o = F.col("l_extendedprice").cast("bigint"), F.when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("bigint"))
+    cached = F.col("l_partkey") - 500
+    reported = F.when(F.col("l_linenumber") == 3, F.col("l_tax").cast("double"))
+    cost, source = metrics.call_cost(i, cached, o, reported, _PRICES)
+    return li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", cost.alias("cost"), source.alias("source"))
+
+
+_CALLS = """c AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount, trunc(l_extendedprice::DOUBLE)::BIGINT AS i, CASE WHEN l_linenumber <> 5 THEN trunc(l_quantity::DOUBLE)::BIGINT END AS o, l_partkey - 500 AS h,
+    CASE WHEN l_linenumber = 3 THEN l_tax::DOUBLE END AS r FROM lineitem),
+  e AS (SELECT *, least(greatest(h, 0), i) AS k FROM c),
+  calls AS (SELECT *, coalesce(r, ((i - k) * 0.25::DOUBLE + k * 0.05::DOUBLE + o * 2.2::DOUBLE) / 1000000) AS cost, CASE WHEN r IS NOT NULL THEN 'provider_reported' WHEN o IS NOT NULL THEN 'estimated' ELSE 'unknown' END AS source FROM e)"""
+_RUNS_COST = _CALLS + """, runs AS (SELECT l_orderkey, count(*) AS calls, count(cost) AS known, round(sum(cost), 8) AS amount,
+    CASE WHEN count(cost) = 0 THEN 'unknown' WHEN count(cost) < count(*) THEN 'partial' WHEN count(*) FILTER (WHERE source = 'provider_reported') = count(*) THEN 'provider_reported' ELSE 'estimated' END AS status FROM calls GROUP BY 1)"""
+
+
+def call_costs(s, d):
+    return _calls(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+Q["call_costs"] = (call_costs, f"WITH {_CALLS} SELECT source, count(*) AS calls, round(sum(cost), 4) AS cost FROM calls GROUP BY 1")
+
+
+def run_costs(s, d):
+    r = metrics.run_costs(_calls(s, d), "l_orderkey", "cost", "source")
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.sum("calls").alias("calls"), F.sum("known").alias("known"), F.round(F.sum("amount"), 3).alias("amount"))
+
+
+Q["run_costs"] = (run_costs, f"WITH {_RUNS_COST} SELECT status, count(*) AS runs, sum(calls)::BIGINT AS calls, sum(known)::BIGINT AS known, round(sum(amount), 3) AS amount FROM runs GROUP BY 1")
+
+
+def cost_total(s, d):
+    x = metrics.cost_total(metrics.run_costs(_calls(s, d), "l_orderkey", "cost", "source"))
+    return x.select("runs", "with_amount", F.round("amount", 3).alias("amount"), F.round("mean_known", 6).alias("mean_known"), "mean_all", "status")
+
+
+Q["cost_total"] = (cost_total, f"WITH {_RUNS_COST} " + """SELECT count(*) AS runs, count(amount) AS with_amount, round(sum(amount), 3) AS amount, round(avg(amount), 6) AS mean_known,
+  CASE WHEN count(*) FILTER (WHERE status IN ('unknown', 'partial')) = 0 THEN round(sum(amount) / count(*), 8) END AS mean_all,
+  CASE WHEN count(amount) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE status IN ('unknown', 'partial')) = 0 THEN 'complete' ELSE 'partial' END AS status FROM runs""")
+
+
+def phase_validity(s, d):
+    """Order lines as calls of a phase (the rest of the part by 4): the last one of an order and phase decides."""
+    c = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4).alias("phase"), (F.col("l_linestatus") == "F").alias("valid"), (F.col("l_discount") > 0.05).alias("retry"), F.when(F.col("l_returnflag") == "R", "refused").alias("error"))
+    return metrics.phase_validity(c, "l_orderkey", "phase", "l_linenumber", "valid", "retry", "error")
+
+
+Q["phase_validity"] = (phase_validity, """
+  WITH l AS (SELECT l_orderkey, l_partkey % 4 AS phase, arg_max(l_linestatus = 'F', l_linenumber) AS ok, count(*) AS calls, count(*) FILTER (WHERE l_discount > 0.05) AS retries, count(*) FILTER (WHERE l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1, 2)
+  SELECT phase, count(*) AS runs, count(*) FILTER (WHERE ok) AS valid_runs, round(count(*) FILTER (WHERE ok) / count(*), 6) AS validity, sum(calls)::BIGINT AS calls, sum(retries)::BIGINT AS retries, sum(errors)::BIGINT AS errors FROM l GROUP BY 1""")
+
+
+def proposal_counts(s, d):
+    """Defects of a message as its proposals, its content limits as those refused."""
+    m = t(s, d, "parsed_emails").select("email_id", "defects", "content_limits").dropDuplicates(["email_id"])
+    return metrics.proposal_counts(m, "email_id", "defects", "content_limits")
+
+
+Q["proposal_counts"] = (proposal_counts, """
+  WITH m AS (SELECT DISTINCT email_id, coalesce(len(defects), 0) AS p, coalesce(len(content_limits), 0) AS i FROM parsed_emails)
+  SELECT sum(p)::BIGINT AS proposals, sum(i)::BIGINT AS invalid, count(*) FILTER (WHERE p > 0) AS records_with_any, round(sum(i) / nullif(sum(p), 0), 6) AS invalid_rate FROM m""")
+
+
+def action_coverage(s, d):
+    """Actions by a rule on the message's flags, against the labels."""
+    m = _labelled(s, d).withColumn("action", F.when(F.col("guess").isNull(), "review").when(F.col("guess") == "legitime", "deliver").otherwise("hold"))
+    return metrics.action_coverage(m, "action", "normalized_label")
+
+
+Q["action_coverage"] = (action_coverage, "WITH " + _LAB + """, a AS (SELECT CASE WHEN p IS NULL THEN 'review' WHEN p = 'legitime' THEN 'deliver' ELSE 'hold' END AS action, t FROM l)
+  SELECT action, count(*) AS rows_n, """ + ", ".join(f"count(*) FILTER (WHERE t = '{x}') AS on_{x}" for x in metrics.LABELS) + f""", count(*) FILTER (WHERE t IS NULL OR t NOT IN {_TAX}) AS unlabelled,
+  round(count(*) / (SELECT count(*) FROM a), 6) AS share FROM a GROUP BY action""")
+
+
+def usage_totals(s, d):
+    r = t(s, d, "tool_results").select("result_id", "tool", "mode", "requests_sent", (F.col("response_ref").isNotNull()).alias("response"), (F.col("status") == "ok").alias("ok")).distinct()
+    return metrics.usage_totals(r, ["tool", "mode"], ["response", "ok"], ["requests_sent"]).withColumn("level", F.col("level").cast("long"))
+
+
+Q["usage_totals"] = (usage_totals, """
+  WITH r AS (SELECT DISTINCT result_id, tool, mode, requests_sent, response_ref IS NOT NULL AS response, status = 'ok' AS ok FROM tool_results)
+  SELECT tool, mode, count(*) AS rows_n, count(*) FILTER (WHERE response) AS with_response, count(*) FILTER (WHERE ok) AS with_ok, sum(requests_sent)::BIGINT AS sum_requests_sent,
+   count(*) FILTER (WHERE requests_sent IS NULL) AS unknown_requests_sent, grouping(tool, mode)::BIGINT AS level FROM r GROUP BY ROLLUP (tool, mode)""")
+
+
+def issue_counts(s, d):
+    """Decode defects of text parts as issues; those that name a charset weigh more."""
+    p = t(s, d, "text_parts").select("part_key", "decode_defects").dropDuplicates(["part_key"]).select(F.explode("decode_defects").alias("x"))
+    i = p.select(F.substring_index("x", ":", 1).alias("code"), F.when(F.lower("x").contains("charset"), "critical").otherwise("minor").alias("severity"))
+    return metrics.issue_counts(i, "code", "severity", "critical")
+
+
+Q["issue_counts"] = (issue_counts, """
+  WITH p AS (SELECT part_key, any_value(decode_defects) AS d FROM (SELECT DISTINCT part_key, decode_defects FROM text_parts) GROUP BY 1), x AS (SELECT unnest(d) AS x FROM p)
+  SELECT split_part(x, ':', 1) AS code, count(*) AS n FROM x WHERE contains(lower(x), 'charset') GROUP BY 1""")
+
+
+def variant_block(s, d):
+    """Three variants of a run (the line's status letters): means over valid lines that are not excluded."""
+    li = t(s, d, "lineitem").select("l_returnflag", (F.col("l_linestatus") == "F").alias("valid"), (F.col("l_tax") > 0.06).alias("excluded"), F.col("l_discount").cast("double").alias("cost"), F.col("l_quantity").cast("double").alias("latency"))
+    return metrics.variant_block(li, "l_returnflag", "valid", "excluded", "cost", "latency")
+
+
+Q["variant_block"] = (variant_block, """
+  SELECT l_returnflag, count(*) AS rows_n, count(*) FILTER (WHERE l_linestatus = 'F' AND NOT l_tax > 0.06) AS used, count(*) FILTER (WHERE l_tax > 0.06) AS excluded_n,
+   round(avg(l_discount::DOUBLE) FILTER (WHERE l_linestatus = 'F' AND NOT l_tax > 0.06), 6) AS mean_cost, round(avg(l_quantity::DOUBLE) FILTER (WHERE l_linestatus = 'F' AND NOT l_tax > 0.06), 6) AS mean_latency FROM lineitem GROUP BY 1""")
+
+
+def limitations(s, d):
+    lab = _labelled(s, d)
+    synthetic = t(s, d, "corpus_manifest").select("sample_id", "is_synthetic").distinct()
+    t1 = lab.agg(F.countDistinct(metrics.restricted(F.col("normalized_label"))).alias("supported"), F.count_if(F.col("guess").isNull()).alias("abstained"))
+    t2 = synthetic.agg(F.count_if("is_synthetic").alias("synthetic"), F.lit(0).alias("unknown_cost"))
+    return metrics.limitations(t1.crossJoin(t2)).withColumn("no", F.col("no").cast("long"))  # one row each
+
+
+Q["limitations"] = (limitations, "WITH " + _LAB + """, f AS (SELECT (SELECT count(DISTINCT t) FROM v) AS supported, (SELECT count(*) FROM l WHERE p IS NULL) AS abstained,
+   (SELECT count(*) FROM (SELECT DISTINCT sample_id, is_synthetic FROM corpus_manifest) WHERE is_synthetic) AS synthetic)
+  SELECT 0::BIGINT AS no, 'labels without support' AS limitation FROM f WHERE supported < 6 UNION ALL SELECT 2, 'some records were not judged' FROM f WHERE abstained > 0 UNION ALL SELECT 3, 'some records are synthetic' FROM f WHERE synthetic > 0""")
+
+
 def window_counts(s, d):
     e = t(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))

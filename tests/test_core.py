@@ -85,15 +85,19 @@ def test_registry_and_conflicts(spark):
 
 
 def test_hand_metric_table(spark):
-    truth = ["phishing"] * 2 + ["legitime"] * 2 + ["spam"] * 4
-    said = ["phishing", "legitime", "legitime", "phishing", "spam", "spam", "legitime", None]
-    df = spark.createDataFrame(list(zip(truth, said, strict=True)), "t string, p string")
+    """Fourteen rows: fraude 3 of 4 found and 1 called so wrongly, spam 1 of 3, menace never said, legitime 4 of 5."""
+    rows = [("fraude", "fraude")] * 3 + [("fraude", "spam"), ("spam", "spam"), ("spam", None), ("spam", "legitime")] + [("menace", None), ("menace", "legitime")]
+    rows += [("legitime", "legitime")] * 4 + [("legitime", "fraude"), (None, "spam"), ("other", "spam")]
+    df = spark.createDataFrame(rows, "t string, p string")
     r = {x["label"]: x for x in metrics.classification(df, "t", "p").collect()}
-    assert r["phishing"]["f1"] == 0.5 and r["legitime"]["f1"] == 0.4 and r["spam"]["f1"] == 0.666667 and r["fraude"]["f1"] is None
+    got = {k: (x["support"], x["predicted"], x["hits"], x["abstained"], x["precision"], x["recall"], x["f1"]) for k, x in r.items()}
+    assert got["fraude"] == (4, 4, 3, 0, 0.75, 0.75, 0.75) and got["spam"] == (3, 2, 1, 1, 0.5, 0.333333, 0.4)
+    assert got["menace"] == (2, 0, 0, 1, 0.0, 0.0, 0.0) and got["legitime"] == (5, 6, 4, 0, 0.666667, 0.8, 0.727273)
+    assert got["phishing"] == (0, 0, 0, 0, None, None, None)
     m = metrics.macro_f1(metrics.classification(df, "t", "p")).first()
-    assert m["supported"] == 3 and m["macro_f1_all"] is None
+    assert m["supported"] == 4 and m["macro_f1_all"] is None and m["macro_f1_supported"] == pytest.approx((0.75 + 0.4 + 0 + 0.727273) / 4, abs=1e-6)
     c = {x["truth"]: x for x in metrics.confusion(df, "t", "p").collect()}
-    assert len(c) == 6 and c["spam"]["abstained"] == 1 and c["menace"]["as_spam"] == 0
+    assert len(c) == 6 and (c["menace"]["abstained"], c["menace"]["as_legitime"], c["spam"]["as_spam"]) == (1, 1, 1)
     e = metrics.classification(df.limit(0), "t", "p").collect()
     assert len(e) == 6 and all(x["precision"] is None for x in e)
 
