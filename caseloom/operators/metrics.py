@@ -218,7 +218,7 @@ def cost_total(runs: DataFrame) -> DataFrame:
 
 
 def phase_validity(calls: DataFrame, run: str, phase: str, order: str, valid: str, retry: str, error: str) -> DataFrame:
-    """Per phase: calls, retries, errors, and runs whose last call of the phase was valid."""
+    """Per phase: calls, retries, errors, and runs whose last call of the phase was valid; ``order`` is to be unique within a run's phase."""
     last = calls.groupBy(run, phase).agg(
         F.max_by(valid, order).alias("ok"), F.count(F.lit(1)).alias("calls"), F.count_if(retry).alias("retries"), F.count_if(F.col(error).isNotNull()).alias("errors")
     )

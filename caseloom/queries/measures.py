@@ -483,12 +483,12 @@ Q["cost_total"] = (cost_total, f"WITH {_RUNS_COST} " + """SELECT count(*) AS run
 
 def phase_validity(s, d):
     """Order lines as calls of a phase (the rest of the part by 4): the last one of an order and phase decides."""
-    c = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4).alias("phase"), (F.col("l_linestatus") == "F").alias("valid"), (F.col("l_discount") > 0.05).alias("retry"), F.when(F.col("l_returnflag") == "R", "refused").alias("error"))
-    return metrics.phase_validity(c, "l_orderkey", "phase", "l_linenumber", "valid", "retry", "error")
+    c = t(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus").alias("at"), (F.col("l_partkey") % 4).alias("phase"), (F.col("l_linestatus") == "F").alias("valid"), (F.col("l_discount") > 0.05).alias("retry"), F.when(F.col("l_returnflag") == "R", "refused").alias("error"))
+    return metrics.phase_validity(c, "l_orderkey", "phase", "at", "valid", "retry", "error")
 
 
 Q["phase_validity"] = (phase_validity, """
-  WITH l AS (SELECT l_orderkey, l_partkey % 4 AS phase, arg_max(l_linestatus = 'F', l_linenumber) AS ok, count(*) AS calls, count(*) FILTER (WHERE l_discount > 0.05) AS retries, count(*) FILTER (WHERE l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1, 2)
+  WITH l AS (SELECT l_orderkey, l_partkey % 4 AS phase, arg_max(l_linestatus = 'F', row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linestatus)) AS ok, count(*) AS calls, count(*) FILTER (WHERE l_discount > 0.05) AS retries, count(*) FILTER (WHERE l_returnflag = 'R') AS errors FROM lineitem GROUP BY 1, 2)
   SELECT phase, count(*) AS runs, count(*) FILTER (WHERE ok) AS valid_runs, round(count(*) FILTER (WHERE ok) / count(*), 6) AS validity, sum(calls)::BIGINT AS calls, sum(retries)::BIGINT AS retries, sum(errors)::BIGINT AS errors FROM l GROUP BY 1""")
 
 
