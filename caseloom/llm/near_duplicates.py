@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of hashed runs of successive words; texts with equal sets
    are one class and go on as one representative (the least id of the class).
-2. ``HASHES`` universal hash functions (multiply-shift, odd multipliers from a fixed
-   seed) give a signature of minima; bands of ``ROWS`` minima are the bucket keys.
+2. ``HASHES`` universal hash functions (multiply-add modulo 2^32 over mixed hashes, odd
+   multipliers from a fixed seed) give a signature of minima; bands of ``ROWS`` minima are the bucket keys.
 3. Representatives sharing a bucket are candidates (hot buckets in blocks); their
    signatures, one bit of every minimum, are compared, and those that may reach the
    threshold are checked exactly.
@@ -40,8 +40,8 @@ SLACK = 0.25
 CHECKED = 500_000
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240131)
-_MULT = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_MULT = _rng.integers(1, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -79,10 +79,14 @@ def _shingles(texts: list[str | None], size: int, min_words: int, known: _WordHa
 
 def _minima(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Minima per text under each universal hash: array of (texts, HASHES) of 32 bits."""
-    sig = np.empty((len(starts), HASHES), np.uint32)
+    sig = np.empty((HASHES, len(starts)), np.uint32)
+    high = (flat >> np.uint64(32)).astype(np.uint32)
+    room = np.empty_like(high)
     for k in range(HASHES):
-        sig[:, k] = np.minimum.reduceat((flat * _MULT[k] + _ADD[k]) >> np.uint64(32), starts).astype(np.uint32)
-    return sig
+        np.multiply(high, _MULT[k], out=room)
+        np.add(room, _ADD[k], out=room)
+        np.minimum.reduceat(room, starts, out=sig[k])
+    return np.ascontiguousarray(sig.T)
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
