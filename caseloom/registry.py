@@ -8,9 +8,9 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from caseloom.queries import mails, measures, records, texts
+from caseloom.queries import agreements, mails, measures, records, texts
 
-_ALL = texts.Q | records.Q | measures.Q | mails.Q
+_ALL = texts.Q | records.Q | measures.Q | mails.Q | agreements.Q
 
 
 def queries() -> dict[str, Callable]:
