@@ -241,8 +241,7 @@ def action_coverage(df: DataFrame, action: str, truth: str) -> DataFrame:
     t = restricted(F.col(truth))
     n = F.count(F.lit(1))
     rows = df.groupBy(action).agg(n.alias("rows_n"), *(F.count_if(t == x).alias(f"on_{x}") for x in LABELS), F.count_if(t.isNull()).alias("unlabelled"))
-    total = df.agg(n.alias("__n"))
-    return rows.join(F.broadcast(total)).withColumn("share", ratio(F.col("rows_n"), F.col("__n"))).drop("__n")  # one row
+    return rows.withColumn("share", ratio(F.col("rows_n"), F.sum("rows_n").over(Window.partitionBy())))  # a row an action
 
 
 def usage_totals(records: DataFrame, groups: list[str], flags: list[str], amounts: list[str]) -> DataFrame:

@@ -553,7 +553,9 @@ def limitations(s, d):
     synthetic = t(s, d, "corpus_manifest").select("sample_id", "is_synthetic").distinct()
     t1 = lab.agg(F.countDistinct(metrics.restricted(F.col("normalized_label"))).alias("supported"), F.count_if(F.col("guess").isNull()).alias("abstained"))
     t2 = synthetic.agg(F.count_if("is_synthetic").alias("synthetic"), F.lit(0).alias("unknown_cost"))
-    return metrics.limitations(t1.crossJoin(t2)).withColumn("no", F.col("no").cast("long"))  # one row each
+    names = ("supported", "abstained", "synthetic", "unknown_cost")
+    facts = t1.unionByName(t2, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in names))
+    return metrics.limitations(facts).withColumn("no", F.col("no").cast("long"))
 
 
 Q["limitations"] = (limitations, "WITH " + _LAB + """, f AS (SELECT (SELECT count(DISTINCT t) FROM v) AS supported, (SELECT count(*) FROM l WHERE p IS NULL) AS abstained,
