@@ -69,7 +69,8 @@ def p2_audit(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1))
     near = lambda name, want: (F.abs(F.count_if(F.col("split") == name) / n - want) < 0.05).alias(f"{name}_near")
     rows = got.agg(n.alias("records"), F.countDistinct("case_no").alias("distinct_records"), near("train", 0.70), near("validation", 0.15), near("test", 0.15))
-    return rows.crossJoin(apart)  # one row each
+    both = rows.unionByName(apart, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
