@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,15 @@ def unstage(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more.
+
+    It does so only when the driver collects its garbage, which may be after the job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> int:
     """Removes every intermediate this application has written; returns their number.
 
